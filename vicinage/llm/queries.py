@@ -9,14 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.llm import sql
+from vicinage.session import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -41,9 +38,16 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinage.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
+    "op4_neardup": op4_neardup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_licenses": sql.license_sql()}
