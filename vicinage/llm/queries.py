@@ -44,10 +44,28 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinage.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+#: Stands in for a secret that a deployment passes itself.
+DEMO_KEY = b"not a secret"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinage.llm.pii import pseudonymise_documents
+
+    return pseudonymise_documents(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
     "op4_neardup": op4_neardup,
+    "op9_html": op9_html,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {"op3_licenses": sql.license_sql()}
