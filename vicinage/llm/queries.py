@@ -44,6 +44,22 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinage.llm.voronoi import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinage.llm.common import fresh_path
+    from vicinage.llm.warc import read_archives, write_archives
+
+    path = fresh_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    records = read_archives(spark, path).where("kind <> 'gap'")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinage.llm.html_extract import extract
 
@@ -65,7 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
     "op4_neardup": op4_neardup,
+    "op6_topk": op6_topk,
+    "op8_warc": op8_warc,
     "op9_html": op9_html,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op3_licenses": sql.license_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": sql.license_sql(),
+    "op4_neardup": sql.near_duplicate_sql(),
+    "op6_topk": sql.TOPK_SQL,
+    "op8_warc": sql.WARC_SQL,
+}
