@@ -44,12 +44,26 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinage.llm.syncmers import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinage.llm.voronoi import top_inner_products
 
     return top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vicinage.llm.toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vicinage.llm.common import fresh_path
     from vicinage.llm.warc import read_archives, write_archives
@@ -81,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
     "op4_neardup": op4_neardup,
+    "op5_syncmers": op5_syncmers,
     "op6_topk": op6_topk,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_html": op9_html,
     "op10_pii": op10_pii,
