@@ -1 +1 @@
-
+"""Column builders: distances between vectors and operations on binary descriptors."""

@@ -1 +1 @@
-
+"""Search, clustering and estimation on DataFrames."""

@@ -1 +1 @@
-
+"""Looking at indexes and plans."""

@@ -1 +1 @@
-
+"""Reading, writing and generating vectors."""

@@ -1 +1 @@
-
+"""Search over streams and growing data."""
