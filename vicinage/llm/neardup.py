@@ -10,8 +10,10 @@
    confirmed on the full shingle sets.
 4. Connected components of the confirmed links.
 5. Buckets whose members still lie in different components are compared member by
-   member, in blocks, by sketch; what may reach the threshold is confirmed as well.
-   After this every pair that shares a band is in one component or is compared.
+   member, in blocks, by sketch.  What may reach the threshold forms clusters, and
+   these are compared on full sets, again in blocks.  Both steps hand on spanning
+   links only, so rows stay in proportion to members.  After this every pair that
+   shares a band is in one component or has been compared.
 
 At the default of 42 bands of 6 rows a pair at a similarity of 0.8 shares no band
 with a probability of 3e-6, one at 0.85 of 1e-9; the sketch filter keeps five
@@ -189,21 +191,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     centres = buckets.df.where("is_centre").groupBy("bucket").agg(F.min("v").alias("u"))
     pairs = buckets.df.join(centres, "bucket").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     near = _near(pairs, nodes.df, most_odd)
-    sets: list[Staged] = []
-    links = Staged(_confirmed(near, nodes.df, docs, id_col, text_col, width, percent, sets), "links")
+    links = Staged(_confirmed(near, docs, id_col, text_col, width, percent), "links")
     vertices = buckets.df.select("v").distinct()
     first = Staged(components(vertices, links.df), "components")
 
     # buckets that still hold several components: compare their members in blocks
     labelled = buckets.df.select("bucket", "v", "n").join(first.df, "v")
     mixed_buckets = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    rest = labelled.join(mixed_buckets, "bucket").join(nodes.df.select("v", "sketch"), "v")
-    more = Staged(_confirmed(_compared(rest, most_odd), nodes.df, docs, id_col, text_col, width, percent, sets), "links")
+    sketches = nodes.df.select("v", "sketch")
+    maybe = Staged(_blockwise(labelled.join(mixed_buckets, "bucket").join(sketches, "v"), most_odd, None), "maybe")
     last = first.df
-    if not more.df.isEmpty():
-        named = more.df.join(first.df.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").join(first.df, "v").select(F.col("cu").alias("u"), F.col("c").alias("v")).distinct()
-        joined = components(named.select("u").union(named.select("v")).distinct().withColumnRenamed("u", "v"), named)
-        last = first.df.join(joined.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
+    if not maybe.df.isEmpty():
+        # what may be linked lies within one cluster of such pairs; clusters are compared on full sets
+        ends = maybe.df.select("u").union(maybe.df.select("v")).distinct().withColumnRenamed("u", "v")
+        clusters = Staged(components(ends, maybe.df).withColumnRenamed("c", "bucket"), "clusters")
+        held = clusters.df.groupBy("bucket").agg(F.count("*").alias("n"))
+        items = _sets_of(clusters.df.select("v"), docs, id_col, text_col, width)
+        members = clusters.df.join(held, "bucket").join(first.df, "v").join(sketches, "v").join(items, "v")
+        more = Staged(_blockwise(members, most_odd, percent), "links")
+        if not more.df.isEmpty():
+            named = more.df.join(first.df.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").join(first.df, "v").select(F.col("cu").alias("u"), F.col("c").alias("v")).distinct()
+            joined = components(named.select("u").union(named.select("v")).distinct().withColumnRenamed("u", "v"), named)
+            last = first.df.join(joined.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
     of_key = nodes.df.select("key", "v").join(last, "v", "left").select("key", F.coalesce("c", "v").alias("c"))
     return (
         seen.df.select("doc_id", "n_shingles", "key")
@@ -220,46 +229,65 @@ def _near(pairs: DataFrame, nodes: DataFrame, most_odd: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(odd("a", "b") <= most_odd).select("u", "v")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, sets: list[Staged]) -> DataFrame:
+def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``v, items`` of the vertices in ``wanted`` (``v``, written and distinct)."""
+    ids = wanted.withColumnRenamed("v", "__wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("text")).join(ids, F.col("v") == F.col("__wanted"), "left_semi")
+    return Staged(full_sets(texts, "v", "text", width), "sets").df
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs that reach the threshold on their full sets, ``u, v``."""
     kept = Staged(pairs, "pairs").df
     needed = Staged(kept.select("u").union(kept.select("v")).distinct().withColumnRenamed("u", "v"), "needed").df
-    ids = needed.withColumnRenamed("v", "__wanted")
-    if needed.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    wanted = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("text")).join(ids, F.col("v") == F.col("__wanted"), "left_semi")
-    items = Staged(full_sets(wanted, "v", "text", width), "sets")
-    sets.append(items)
-    left, right = items.df.select(F.col("v").alias("u"), F.col("items").alias("a")), items.df.select("v", F.col("items").alias("b"))
+    items = _sets_of(needed, docs, id_col, text_col, width)
+    left, right = items.select(F.col("v").alias("u"), F.col("items").alias("a")), items.select("v", F.col("items").alias("b"))
     common = F.pandas_udf(_common, "long")
     both = kept.join(right, "v").join(left, "u").select("u", "v", ((F.octet_length("a") + F.octet_length("b")) / 8).cast("long").alias("total"), common("a", "b").alias("common"))
     return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("u", "v").distinct()
 
 
-def _compared(rest: DataFrame, most_odd: int) -> DataFrame:
-    """Pairs of different components within a bucket that their sketches do not
-    rule out.  ``rest``: ``bucket, v, n, c, sketch``.  A bucket of ``n`` members
-    makes ``ceil(n / BLOCK)`` blocks, and each pair of blocks is a group of its own."""
-    kind = rest.schema["v"].dataType.simpleString()
+def _blockwise(members: DataFrame, most_odd: int, percent: int | None) -> DataFrame:
+    """Links ``u, v`` that connect what is linked within each bucket and across
+    its components: a spanning forest of a block pair's links, at most one row a
+    member, never all pairs.
+
+    ``members``: ``bucket, v, n, c, sketch`` and, to confirm links on full sets
+    (``percent`` given), ``items``; else a link is what the sketches do not rule
+    out.  A bucket of ``n`` members makes ``ceil(n / BLOCK)`` blocks, and each
+    pair of blocks is a group of its own."""
+    kind = members.schema["v"].dataType.simpleString()
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v", "bucket"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "c", "sketch")
+    placed = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v", "bucket"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "c", "sketch", *(["items"] if percent else []))
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+    def links(g: pd.DataFrame) -> pd.DataFrame:
         i, j = g["i"].iloc[0], g["j"].iloc[0]
-        a, b = g[g["mine"] == i], g[g["mine"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"u": a["v"][:0], "v": b["v"][:0]})
-        x = np.frombuffer(b"".join(a["sketch"]), np.uint64).reshape(len(a), -1)
-        y = np.frombuffer(b"".join(b["sketch"]), np.uint64).reshape(len(b), -1)
-        odd = np.zeros((len(a), len(b)), np.uint16)
-        for k in range(x.shape[1]):
-            odd += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-        near = (odd <= most_odd) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :])
-        if i == j:
-            near = np.triu(near)
-        p, q = np.nonzero(near)
-        u, v = a["v"].to_numpy()[p], b["v"].to_numpy()[q]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(pairs, f"u {kind}, v {kind}").distinct()
+        g = g.drop_duplicates("v").reset_index(drop=True)
+        rows, cols = np.flatnonzero(g["mine"] == i), np.flatnonzero(g["mine"] == j)
+        bits = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        c, ids = g["c"].to_numpy(), g["v"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in g["items"]] if percent else []
+        root, out = np.arange(len(g)), []
+        for at, p in enumerate(rows):
+            others = cols[at + 1 :] if i == j else cols
+            others = others[(c[others] != c[p]) & (root[others] != root[p])]
+            if len(others):
+                others = others[np.bitwise_count(bits[others] ^ bits[p]).sum(axis=1, dtype=np.int64) <= most_odd]
+            if percent and len(others):
+                sizes = np.array([len(sets[q]) for q in others])
+                flat, mine = np.concatenate([sets[q] for q in others]), sets[p]
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *sizes[:-1]]))
+                others = others[100 * common >= percent * (sizes + len(mine) - common)]
+            for q in others:
+                if root[q] != root[p]:
+                    root[root == root[q]] = root[p]
+                    out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, sets their number
+    return dealt.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(links, f"u {kind}, v {kind}").distinct()
