@@ -16,7 +16,10 @@ a source, so a source with a third of all rows is spread over as many tasks.
 from __future__ import annotations
 
 import heapq
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,3 +181,41 @@ BROADCAST_ROWS = 200_000
 def _looked_up(spark, rows: list[tuple], schema: str) -> DataFrame:
     df = spark.createDataFrame(rows, schema)
     return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
+def cut_words(text: str, start: int, n: int) -> str:
+    """``n`` words of a text from word ``start`` on, cyclically, with the white
+    space between them; a run over the end is joined by a line break."""
+    places = [m.span() for m in _WORDS.finditer(text)]
+    stop = start + n
+    part = text[places[start][0] : places[min(stop, len(places)) - 1][1]]
+    return part if stop <= len(places) else part + "\n" + text[places[0][0] : places[stop - len(places) - 1][1]]
+
+
+_WORDS = re.compile(SPACE_WORD)
+
+
+def expand(mixed: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """Rows of :func:`mix` with ``keep`` turned into the documents that the mix
+    takes: the input row once for each pass, and once more with the extra words."""
+    schema = mixed.schema["row"].dataType
+    columns = schema.names
+    at = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            passes, starts, extras = (rows.column(k).to_pylist() for k in range(3))
+            take, parts = [], {}
+            for k, (n, start, extra) in enumerate(zip(passes, starts, extras, strict=True)):
+                take += [k] * n
+                if extra:
+                    parts[len(take)] = cut_words(rows.column(3 + at)[k].as_py(), start, extra)
+                    take.append(k)
+            taken = [c.take(pa.array(take, pa.int64())) for c in rows.columns[3:]]
+            if parts:
+                taken[at] = pa.array([parts.get(k, t) for k, t in enumerate(taken[at].to_pylist())], taken[at].type)
+            yield pa.RecordBatch.from_arrays(taken, names=columns)
+
+    flat = mixed.select(F.col("passes").alias("__passes"), F.col("extra_from").alias("__from"), F.col("extra").alias("__extra"), *[F.col("row")[c].alias(c) for c in columns])
+    out = flat.mapInArrow(run, schema)
+    return out.withColumn(chars_col, F.length(text_col).cast(schema[chars_col].dataType)) if chars_col in columns else out

@@ -291,3 +291,18 @@ def _blockwise(members: DataFrame, most_odd: int, percent: int | None) -> DataFr
 
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, sets their number
     return dealt.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(links, f"u {kind}, v {kind}").distinct()
+
+
+def one_row_an_id(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """One row of each id, with all its columns; rows with a null id all stay.
+    Of different rows with one id the one with the smallest hash stays."""
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1")
+    ids = Staged(repeated.select("__id"), "repeated").df
+    n = ids.count()
+    if not n:  # ids are unique, as they should be: nothing moves
+        return docs
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    single = docs.join(ids, F.col(id_col) == F.col("__id"), "left_anti")
+    several = docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
+    first = several.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*several.columns), F.xxhash64(*several.columns)).alias("__row"))
+    return single.unionByName(first.select("__row.*"))

@@ -232,3 +232,20 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, *, id_col: str = "doc_id
                 )
 
     return source.mapInArrow(run, f"doc_id {kind}, text string, n_found long, kinds string")
+
+
+def with_pseudonyms(docs: DataFrame, key: bytes, *, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows with all their columns, the text with pseudonyms and, where there
+    is such a column, its number of code points in ``chars_col``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Feistel(key)
+        for rows in batches:
+            texts = [None if x is None else pseudonymise(x, f)[0] for x in rows.column(at).to_pylist()]
+            columns = list(rows.columns)
+            columns[at] = pa.array(texts, rows.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
