@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 #: Payloads below this are never revisited; records of a file; rows of a broadcast table of repeated payloads.
 REVISIT_BYTES, FILE_RECORDS, BROADCAST_ROWS = 1000, 4096, 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"(?m)^WARC/[01]\.\d+\r?\n")
+MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/[01]\.\d+\r?\n")
 STEP = 1 << 16
+#: Header lines that a record has once.
+ONCE = frozenset(("warc-type", "warc-record-id", "warc-date", "content-length"))
 
 
 def _uri(page_id) -> str:
@@ -145,7 +147,10 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Broken("header line")
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("latin-1")
+        if name in head and name in ONCE:  # a cut header that runs into the next record's
+            raise Broken("repeated header line")
+        head[name] = value.strip().decode("utf-8", "replace")
     length = head.get("content-length", "")
     if not length.isdigit():
         raise Broken("no length")
