@@ -77,7 +77,8 @@ def scan(
 ) -> DataFrame:
     """Per document ``doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score`` and ``matches``: the matching blocks as
-    ``array<struct<block, template, containment>>`` (block numbers from 0).
+    ``array<struct<block, template, containment>>`` (block numbers from 0); of a
+    block's matches those of the highest containment give labels.
 
     Null and empty texts have no words, no labels ('') and score 0.  Repeated
     rows give repeated results.  An empty table gives no rows.  Other columns
@@ -116,7 +117,9 @@ def scan(
         matches.alias("matches"),
     )
     label_of = F.create_map(*[F.lit(x) for k, (_, label) in enumerate(sets) for x in (k, label)])
-    own = F.transform("matches", lambda m: F.element_at(label_of, m["template"]))
+    # close templates match together; a block's label is that of the template it holds most of
+    best = lambda m: F.array_max(F.transform(F.filter("matches", lambda x: x["block"] == m["block"]), lambda x: x["containment"]))
+    own = F.transform(F.filter("matches", lambda m: m["containment"] >= best(m)), lambda m: F.element_at(label_of, m["template"]))
     return scanned.select(
         "doc_id",
         "n_words",

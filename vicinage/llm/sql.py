@@ -35,14 +35,14 @@ based AS (
          list_sort(list_distinct(list_filter([{", ".join(labels)}], lambda x: x IS NOT NULL))) AS base_list
   FROM placed),
 lines AS (SELECT r, {_words("line")} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
-blocks AS (SELECT r, list_slice(w, c + 1, c + {full}) AS b FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {full} + {half}, 1), {half})) AS c FROM lines)),
-templates(k, label, words, n, need) AS (VALUES {template_rows}),
+blocks AS (SELECT r, row_number() OVER () AS k, list_slice(w, c + 1, c + {full}) AS b FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {full} + {half}, 1), {half})) AS c FROM lines)),
+templates(t, label, words, n, need) AS (VALUES {template_rows}),
 matched AS (
-  SELECT r, label, n, len(list_distinct(list_intersect(b, words))) AS common, need
+  SELECT r, k, label, n, len(list_distinct(list_intersect(b, words))) AS common, need
   FROM blocks, templates),
-best AS (
-  SELECT r, list(DISTINCT label) AS own, max(common / n::DOUBLE) AS score
-  FROM matched WHERE common >= need GROUP BY r)
+fitting AS (SELECT r, k, label, common / n::DOUBLE AS part FROM matched WHERE common >= need),
+closest AS (SELECT * FROM fitting QUALIFY part = max(part) OVER (PARTITION BY k)),
+best AS (SELECT r, list(DISTINCT label) AS own, max(part) AS score FROM closest GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,
        list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
        coalesce(array_to_string(base_list, ','), '') AS base_labels,
