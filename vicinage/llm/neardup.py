@@ -259,34 +259,48 @@ def _blockwise(members: DataFrame, most_odd: int, percent: int | None) -> DataFr
     out.  A bucket of ``n`` members makes ``ceil(n / BLOCK)`` blocks, and each
     pair of blocks is a group of its own."""
     kind = members.schema["v"].dataType.simpleString()
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v", "bucket"), F.col("blocks")).cast("int"))
+    # powers of two and one hash: a member's block is the same in all buckets of a size,
+    # so the forests of buckets that share members share links
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("n") / BLOCK)))).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "c", "sketch", *(["items"] if percent else []))
 
     def links(g: pd.DataFrame) -> pd.DataFrame:
         i, j = g["i"].iloc[0], g["j"].iloc[0]
-        g = g.drop_duplicates("v").reset_index(drop=True)
+        g = g.drop_duplicates("v").sort_values("v", ignore_index=True)
         rows, cols = np.flatnonzero(g["mine"] == i), np.flatnonzero(g["mine"] == j)
         bits = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
         c, ids = g["c"].to_numpy(), g["v"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in g["items"]] if percent else []
-        root, out = np.arange(len(g)), []
-        for at, p in enumerate(rows):
-            others = cols[at + 1 :] if i == j else cols
-            others = others[(c[others] != c[p]) & (root[others] != root[p])]
-            if len(others):
-                others = others[np.bitwise_count(bits[others] ^ bits[p]).sum(axis=1, dtype=np.int64) <= most_odd]
-            if percent and len(others):
-                sizes = np.array([len(sets[q]) for q in others])
-                flat, mine = np.concatenate([sets[q] for q in others]), sets[p]
-                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-                common = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *sizes[:-1]]))
-                others = others[100 * common >= percent * (sizes + len(mine) - common)]
-            for q in others:
-                if root[q] != root[p]:
-                    root[root == root[q]] = root[p]
-                    out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        # on full sets what is in one component is linked already; sketches only gather
+        # pairs for that test, and there each member counts by itself
+        root = np.unique(c, return_inverse=True)[1] if percent else np.arange(len(g))
+
+        def joined(some: np.ndarray, others: np.ndarray, within: bool) -> list[tuple]:
+            found = []
+            for at, p in enumerate(some):
+                q = others[at + 1 :] if within else others
+                q = q[(c[q] != c[p]) & (root[q] != root[p])]
+                if len(q):
+                    q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64) <= most_odd]
+                if percent and len(q):
+                    sizes, mine = np.array([len(sets[k]) for k in q]), sets[p]
+                    flat = np.concatenate([sets[k] for k in q])
+                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    common = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *sizes[:-1]]))
+                    q = q[100 * common >= percent * (sizes + len(mine) - common)]
+                for k in q:
+                    if root[k] != root[p]:
+                        root[root == root[k]] = root[p]
+                        found.append((min(ids[p], ids[k]), max(ids[p], ids[k])))
+            return found
+
+        if i == j:
+            out = joined(rows, rows, True)
+        else:  # links within a block are another group's; here they save links between the two
+            joined(rows, rows, True), joined(cols, cols, True)
+            out = joined(rows, cols, False)
         return pd.DataFrame(out, columns=["u", "v"])
 
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, sets their number
