@@ -147,22 +147,23 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``v, c``: the smallest vertex that each vertex reaches.
 
-    Each round takes the smallest label of the neighbours and then the label of
-    that label, so long paths shorten by doubling.  Rounds are written tables."""
-    both = Staged(edges.select(F.col("u").alias("s"), F.col("v").alias("t")).union(edges.select(F.col("v").alias("s"), F.col("u").alias("t"))).distinct(), "edges")
-    labels = Staged(vertices.select("v", F.col("v").alias("c"), F.lit(True).alias("moved")), "labels")
-    while True:
-        near = both.df.join(labels.df.select(F.col("v").alias("s"), "c"), "s").groupBy(F.col("t").alias("v")).agg(F.min("c").alias("m"))
-        stepped = labels.df.join(near, "v", "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        stepped = Staged(stepped, "stepped")
-        jump = stepped.df.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        after = Staged(stepped.df.join(jump, "c").select("v", F.col("cc").alias("c"), (F.col("cc") != F.col("old")).alias("moved")), "labels")
-        stepped.drop()
-        labels.drop()
-        labels = after
-        if labels.df.where("moved").isEmpty():
-            both.drop()
-            return labels.df.select("v", "c")
+    By contraction: every vertex takes its smallest neighbour (or itself), then
+    that one's; the edges are renamed and those within a name vanish.  Stars, the
+    common case, are done after one round, so edges are joined about once.  The
+    smallest vertex of a component keeps its name throughout.  Rounds are written
+    tables."""
+    left = Staged(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    names = vertices.select("v", F.col("v").alias("c"))
+    while not left.df.isEmpty():
+        both = left.df.select("u", "v").union(left.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = Staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("p")), "near").df
+        named = Staged(near.join(near.select(F.col("v").alias("p"), F.col("p").alias("c")), "p").select("v", "c"), "names").df
+        names = names.join(named.select(F.col("v").alias("c"), F.col("c").alias("next")), "c", "left").select("v", F.coalesce("next", "c").alias("c"))
+        renamed = left.df.join(named.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").join(named.select("v", F.col("c").alias("cv")), "v")
+        after = Staged(renamed.where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), "edges")
+        left.drop()
+        left = after
+    return names
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
