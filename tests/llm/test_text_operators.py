@@ -350,6 +350,27 @@ def test_pseudonyms_keep_the_format(kind):
     assert a == b.replace(" ", "")
 
 
+def test_values_before_short_numbers_and_capital_words():
+    f = pii.Feistel(b"key")
+    cards = ["4111 1111 1111 1111", "4111111111111111", "4524132264652876", "3782-822463-10005", "5105 1051 0510 5100"]
+    ibans = ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "AT61 1904 3002 3457 3201"]
+    phones = ["+442079460018", "+44 20 7946 0018", "+1 (319) 555-5132", "+13195555132"]
+    for kind, values, tails in (
+        ("card", cards, [" 12/27", " 123", " 7 items", " 1", " 12 34", " 2027-01."]),
+        ("iban", ibans, [" BBVA", " EUR", " A", " BANK OF", " 12", " 1234 EUR"]),
+        ("phone", phones, [" 12", " 7 times", " 123", " 1234 56"]),
+    ):
+        for value in values:
+            alone = pii.pseudonymise(value, f)[0]
+            assert alone != value
+            for tail in tails:
+                assert pii.pseudonymise(f"to {value}{tail}", f) == (f"to {alone}{tail}", {kind: 1}), value + tail
+    card = pii.pseudonymise(cards[0], f)[0]
+    for n in range(100):  # numbers before a card do not take a part of it, whatever their digits sum up to
+        assert pii.pseudonymise(f"{n:02} {cards[0]} 12", f) == (f"{n:02} {card} 12", {"card": 1})
+        assert pii.pseudonymise(f"{cards[0]} {n:02}", f)[1] == {"card": 1}
+
+
 def test_invalid_values_stay():
     text = "Order 9807915762804490, version 2.0, 300.1.1.1, 000-12-3456, 2021-13-45, token = \"0b96a8c8d79c4a5085c919698889f59b72ab7bb6\", a@b, 12:30:45"
     assert pii.pseudonymise(text, pii.Feistel(b"key")) == (text, {})

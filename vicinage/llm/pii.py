@@ -186,8 +186,80 @@ KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, (pattern, _) in KINDS.items()))
 _EACH = {kind: re.compile(pattern) for kind, (pattern, _) in KINDS.items()}
+_AFTER = re.compile(_END)
 _WORTH = re.compile(r"@|\d\D{0,3}\d\D{0,3}\d")
 
+#: First digits of card numbers and the lengths issued with them.
+ISSUED = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|3[47]\d{13}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|(?:30[0-5]|309|36\d|3[89]\d)\d{11,16}|35(?:2[89]|[3-8]\d)\d{12,15}|6(?:011|4[4-9]\d|5\d\d)\d{12,15}|62\d{14,17}|(?:50|5[6-9]|6[0137-9])\d{11,17}"
+)
+#: Country -> characters of its IBANs.
+_IBAN = "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,TL,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+IBAN_CHARS = {country: int(n) for n, _, countries in (x.partition(":") for x in _IBAN.split()) for country in countries.split(",")}
+#: Country code -> least and most digits behind it.
+_PHONE = "1:10:10 7:10:10 20:8:10 27:9:9 30:10:10 31:9:9 32:8:9 33:9:9 34:9:9 36:8:9 39:6:11 40:9:9 41:9:9 43:4:13 44:9:10 45:8:8 46:7:10 47:8:8 48:9:9 49:5:11 51:8:9 52:10:10 54:10:11 55:10:11 56:9:9 57:10:10 58:10:10 60:8:10 61:9:9 62:8:12 63:8:10 64:8:10 65:8:8 66:8:9 81:9:10 82:8:10 84:9:10 86:10:11 90:10:10 91:10:10 92:9:10 94:9:9 98:10:10 212:9:9 213:8:9 216:8:8 234:8:10 254:9:9 351:9:9 352:5:11 353:7:9 354:7:7 355:8:9 356:8:8 357:8:8 358:5:12 359:8:9 370:8:8 371:8:8 372:7:8 380:9:9 385:8:9 386:8:8 420:9:9 421:9:9 852:8:8 886:8:9 966:8:9 971:8:9 972:8:9"
+PHONE_DIGITS = {code: (int(a), int(b)) for code, a, b in (x.split(":") for x in _PHONE.split())}
+
+
+def _phone_fit(text: str) -> int:
+    """0 for a number of its country's length written in one run, 1 for another of
+    that length, 2 for a run of a country that is not listed, else 3."""
+    digits = _digits(text)
+    run = re.fullmatch(r"\+\d{10,15}", text) is not None
+    code = next((digits[:n] for n in (1, 2, 3) if digits[:n] in PHONE_DIGITS), None) if text[0] == "+" else None
+    if code is None:
+        return 2 if run else 3
+    least, most = PHONE_DIGITS[code]
+    return (0 if run else 1) if least <= len(digits) - len(code) <= most else 3
+
+
+def _card_fit(text: str) -> int:
+    """0 for a number of a known issuer in the usual groups, 1 in others, else 2."""
+    if not ISSUED.fullmatch(_digits(text)):
+        return 2
+    groups = [len(x) for x in re.split("[ -]", text)]
+    usual = len(groups) == 1 or groups in ([4, 6, 5], [4, 6, 4]) or (set(groups[:-1]) == {4} and groups[-1] <= 4)
+    return 0 if usual else 1
+
+
+#: Kinds whose pattern can run on into what stands behind the value -> how well a
+#: reading fits, 0 best; of readings that fit alike the longest is tried first.
+FITS: dict[str, Callable[[str], int]] = {
+    "iban": lambda text: int(len(text.replace(" ", "")) != IBAN_CHARS.get(text[:2])),
+    "card": _card_fit,
+    "phone": _phone_fit,
+}
+
+
+def _readings(kind: str, text: str, start: int, end: int) -> list[str]:
+    """Every way to end a value of the kind at ``start``, in the order of trial."""
+    if kind not in FITS:
+        return [text[start:end]]
+    pattern = _EACH[kind]
+    ends = [end] + [e for e in range(end - 1, start + 9, -1) if _AFTER.match(text, e) and pattern.fullmatch(text, start, e)]
+    return sorted((text[start:e] for e in ends), key=FITS[kind])
+
+
+def _better_card(f: Feistel, text: str, start: int, end: int, fit: int) -> bool:
+    """Whether a valid card that fits better begins between the places."""
+    for s in range(start, end):
+        if (own := _EACH["card"].match(text, s)) and any(_card_fit(x) < fit and card(f, x) is not None for x in _readings("card", text, s, own.end())):
+            return True
+    return False
+
+
+def _value_at(text: str, start: int, f: Feistel) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the value that begins at ``start``."""
+    for kind, pattern in _EACH.items():  # another kind may be valid where the first is not
+        if own := pattern.match(text, start):
+            for value in _readings(kind, text, start, own.end()):
+                if (new := KINDS[kind][1](f, value)) is not None:
+                    end = start + len(value)
+                    if kind == "card" and (fit := _card_fit(value)) and _better_card(f, text, start + 1, end, fit):
+                        break  # a number before a card, read together with a part of it
+                    return kind, end, new
+    return None
+
 
 def pseudonymise(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
     """The text with every valid value replaced, and how many of each kind."""
@@ -196,15 +268,14 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
         return text, found
     parts, at, done = [], 0, 0
     while m := _ANY.search(text, at):
-        start, new, end = m.start(), None, m.end()
-        for kind, pattern in _EACH.items():  # another kind may be valid where the first is not
-            if (own := pattern.match(text, start)) and (new := KINDS[kind][1](f, own[0])) is not None:
-                end = own.end()
-                found[kind] = found.get(kind, 0) + 1
-                parts += [text[done:start], new]
-                done = end
-                break
-        at = end if new is not None else start + 1
+        start = m.start()
+        if value := _value_at(text, start, f):
+            kind, end, new = value
+            found[kind] = found.get(kind, 0) + 1
+            parts += [text[done:start], new]
+            at = done = end
+        else:
+            at = start + 1
     return ("".join(parts) + text[done:] if parts else text), found
 
 
