@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -170,6 +171,22 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    texts = [(t, label) for t, label in licenses.TEMPLATES.items() if len(t) > 70]
+    rows = []
+    for k, (t, _) in enumerate(texts):
+        for at, width in enumerate((30, 50, 72)):
+            for lead in (0, 17, 40):
+                lines = textwrap.wrap(t, width)
+                rows.append((k * 100 + at * 10 + lead // 17, "\n".join([f"word{i}" for i in range(lead)] + [f" * {x}" for x in lines] + ["other words"] * 20)))
+    rows += [(-1 - k, t) for k, (t, _) in enumerate(texts)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = [got.pop(-1 - k)["labels"] for k in range(len(texts))]  # of the same text on one line
+    assert len(got) + len(whole) == len(rows) and {texts[i // 100][1] for i in got} >= {"mit", "bsd", "lgpl", "apache", "gpl"}
+    for i, r in got.items():
+        assert r["labels"] == whole[i // 100] and texts[i // 100][1] in r["labels"].split(",") and r["score"] == 1 and max(m["containment"] for m in r["matches"]) == 1, r
+
+
 def test_licenses_need_no_python(spark):
     plan = licenses.scan(spark.createDataFrame(LICENSED, "doc_id long, text string").where("doc_id > 0"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString().replace("ExistingRDD", ""))

@@ -1,6 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of text, long lines cut into overlapping windows.  A block
+A block is a line of text, long lines cut into overlapping windows; after the
+lines come windows over the words of the whole text, across line breaks, so that
+wrapped passages are whole in one of them.  A block
 matches a template when it holds at least ``containment`` of the template's
 distinct words.  Words are ordered by how many documents hold them, rarest
 first, and that order gives three exact filters:
@@ -42,7 +44,7 @@ TEMPLATES = {
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl",
 }
 CONTAINMENT = 0.8
-#: Words of a block at most; longer lines are cut every half of it.
+#: Words of a block at most; longer lines and whole texts are cut every half of it.
 BLOCK_WORDS = 64
 
 #: A word after lower-casing A-Z, and the same before it.
@@ -140,15 +142,17 @@ def _matches(text: Column, sets: list[tuple[list[str], str]], by_rank: list[str]
     """The matching blocks of one text, as an array built by array functions."""
     vocabulary = F.lit(by_rank)
 
-    def blocks(line: Column) -> Column:
-        words = F.filter(F.split(line, f"{GAP}+"), lambda w: w != "")
+    def blocks(words: Column) -> Column:
         half = BLOCK_WORDS // 2
         cuts = F.sequence(F.lit(0), F.greatest(F.size(words) - BLOCK_WORDS + half - 1, F.lit(0)), F.lit(half))
         # ranks of the template words that the block holds, rarest first
         return F.transform(cuts, lambda c: F.array_sort(F.transform(F.array_intersect(F.slice(words, c + 1, BLOCK_WORDS), vocabulary), lambda w: F.array_position(vocabulary, w).cast("int") - 1)))
 
     # only ASCII words are in the vocabulary, and a translated text has no other lower-case ones
-    every = F.flatten(F.transform(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "\n"), blocks))
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    wrapped = F.when(F.contains(lower, F.lit("\n")), F.array(lower)).otherwise(F.array().cast("array<string>"))
+    worded = F.transform(F.concat(F.split(lower, "\n"), wrapped), lambda line: F.filter(F.split(line, f"{GAP}+"), lambda w: w != ""))
+    every = F.flatten(F.transform(worded, blocks))  # words are bound, not split again for every cut
     numbered = F.filter(F.transform(every, lambda b, k: F.struct(k.alias("k"), b.alias("b"))), lambda x: F.size(x["b"]) > 0)
 
     def against(x: Column) -> Column:
