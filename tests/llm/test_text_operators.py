@@ -296,6 +296,16 @@ def test_long_texts_are_fingerprinted_whole(monkeypatch):
     assert syncmers.fingerprint(text) == whole
 
 
+def test_texts_without_syncmers_have_fingerprints():
+    rnd = random.Random(6)
+    for n in (1, 10, 11, 12, 13, 14, 15, 16, 17):
+        for _ in range(40):
+            a, b = ("".join(rnd.choice("abcdefghijklmnop ") for _ in range(n - 1)) + x for x in "yz")
+            f, g = syncmers.fingerprint(a), syncmers.fingerprint(b)
+            assert f and g and syncmers.likeness(f, "") == 0
+            assert len(f) > 8 or len(g) > 8 or syncmers.likeness(f, g) < 1
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")  # the others cannot be judged

@@ -73,18 +73,18 @@ def _anchors(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def fingerprint(text: str, *, k: int = K, s: int = S, anchors: int = ANCHORS) -> str:
-    """'' for the empty text; a text shorter than a k-mer is one anchor of its own."""
+    """'' for the empty text; a text without closed syncmers is one anchor of its own."""
     if not text:
         return ""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    if len(codes) < k:
-        return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).hexdigest()
     best_h, best_p = np.empty(0, np.uint32), np.empty(0, np.int64)
     for start in range(0, len(codes) - k + 1, CHUNK):  # chunks overlap by a k-mer less one place
         at, h = _anchors(codes[start : start + CHUNK + k - 1], k, s)
         h, first = np.unique(np.concatenate([best_h, h]), return_index=True)
         best_p = np.concatenate([best_p, at + start])[first][:anchors]
         best_h = h[:anchors]
+    if not len(best_h):
+        return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).hexdigest()
     return best_h[np.argsort(best_p, kind="stable")].astype(">u4").tobytes().hex()
 
 
