@@ -306,6 +306,21 @@ def test_texts_without_syncmers_have_fingerprints():
             assert len(f) > 8 or len(g) > 8 or syncmers.likeness(f, g) < 1
 
 
+def test_long_texts_keep_all_anchors():
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    text = lambda *parts: syncmers.fingerprint(" ".join(w for p in parts for w in p))
+    passage, a, b = some(60), some(9000), some(9000)
+    own = len(text(passage)) // 8
+    apart, shared = syncmers.likeness(text(a), text(b)), syncmers.likeness(text(a[:4000], passage, a[4000:]), text(b[:7000], passage, b[7000:]))
+    assert shared - apart > 0.5 * own / (len(text(a)) // 8 + len(text(b)) // 8)
+    assert set(re.findall("." * 8, text(passage))) - set(re.findall("." * 8, text(a, passage, b))) == set()
+    changed = list(a)
+    changed[5000] = "qqqqqq"
+    assert 0.99 < syncmers.likeness(text(a), text(changed)) < 1
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")  # the others cannot be judged

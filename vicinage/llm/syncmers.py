@@ -2,11 +2,11 @@
 
 A k-mer of code points is a closed syncmer if the least of its s-mers stands at
 its first or last place.  Whether a k-mer is chosen depends on nothing outside it,
-so the same passage gives the same anchors wherever it stands.  A fingerprint is a
-bottom sample: the anchors with the smallest hashes, each written as 8 hex digits,
-in the order in which they stand.  Two fingerprints are alike by the share of
-their joint bottom sample that both have, counting only anchors that match in
-position, that is, the longest chain of common anchors in the same order.
+so the same passage gives the same anchors wherever it stands.  A fingerprint is
+all distinct anchors, each written as 8 hex digits, in the order in which they
+first stand.  Two fingerprints are alike by the share of all their anchors that
+both have, counting only anchors that match in position, that is, the longest
+chain of common anchors in the same order.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import Staged
 from vicinage.llm.shingles import mixed
 
-#: Code points of a k-mer and of its s-mers, anchors of a fingerprint.
-K, S, ANCHORS = 11, 4, 64
+#: Code points of a k-mer and of its s-mers.
+K, S = 11, 4
+#: Rows, and hex digits of fingerprints, that are put out at once.
+BATCH_ROWS, BATCH_CHARS = 256, 1 << 22
 #: Code points that are hashed at once; characters of a range of neighbouring documents, and ranges at most.
 CHUNK, RANGE_CHARS, MAX_RANGES = 1 << 17, 1_000_000, 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -72,39 +74,36 @@ def _anchors(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]
     return at, (kmers[at] >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(text: str, *, k: int = K, s: int = S, anchors: int = ANCHORS) -> str:
+def fingerprint(text: str, *, k: int = K, s: int = S) -> str:
     """'' for the empty text; a text without closed syncmers is one anchor of its own."""
     if not text:
         return ""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    best_h, best_p = np.empty(0, np.uint32), np.empty(0, np.int64)
-    for start in range(0, len(codes) - k + 1, CHUNK):  # chunks overlap by a k-mer less one place
-        at, h = _anchors(codes[start : start + CHUNK + k - 1], k, s)
-        h, first = np.unique(np.concatenate([best_h, h]), return_index=True)
-        best_p = np.concatenate([best_p, at + start])[first][:anchors]
-        best_h = h[:anchors]
-    if not len(best_h):
+    found = [_anchors(codes[start : start + CHUNK + k - 1], k, s)[1] for start in range(0, len(codes) - k + 1, CHUNK)]  # chunks overlap by a k-mer less one place
+    hashes = np.concatenate(found) if found else np.empty(0, np.uint32)
+    if not len(hashes):
         return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).hexdigest()
-    return best_h[np.argsort(best_p, kind="stable")].astype(">u4").tobytes().hex()
+    _, first = np.unique(hashes, return_index=True)
+    return hashes[np.sort(first)].astype(">u4").tobytes().hex()
 
 
-def likeness(a: str, b: str, anchors: int = ANCHORS) -> float:
+def likeness(a: str, b: str) -> float:
     """0 to 1; 1 for equal fingerprints, 0 if just one is empty."""
     if a == b:
         return 1.0
-    x, y = ([f[i : i + 8] for i in range(0, len(f), 8)] for f in (a, b))
-    both = set(x) & set(y)
-    if not both:
+    x, y = (np.frombuffer(bytes.fromhex(f), ">u4").astype(np.uint32) for f in (a, b))
+    both, at, places = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(both):
         return 0.0
-    joint = sorted(set(x) | set(y))[:anchors]
-    place = {h: i for i, h in enumerate(y)}
-    in_joint = both.intersection(joint)
-    tails: list[int] = []
-    for h in x:  # longest chain of common anchors in the same order
-        if h in in_joint:
-            i = bisect.bisect_left(tails, place[h])
-            tails[i : i + 1] = [place[h]]
-    return len(tails) / len(joint)
+    places = places[np.argsort(at)]
+    chain = len(places)
+    if (np.diff(places) < 0).any():  # longest chain of common anchors in the same order
+        tails: list[int] = []
+        for place in places.tolist():
+            i = bisect.bisect_left(tails, place)
+            tails[i : i + 1] = [place]
+        chain = len(tails)
+    return chain / (len(x) + len(y) - len(both))
 
 
 def edited(text: str, following: str) -> str:
@@ -177,7 +176,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 if last is not None and last[0] == at:
                     emit(last[1], last[2], last[3], text, own)
                 last = None if guest else (at, doc_id, text, own)
-                if len(out) >= 256:
+                if len(out) >= BATCH_ROWS or sum(len(r[3]) + len(r[4]) for r in out) > BATCH_CHARS:
                     yield batch()
         if out:
             yield batch()
