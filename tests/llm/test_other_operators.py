@@ -191,3 +191,20 @@ def test_pipeline_bears_an_empty_table(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_broad_names_drop_boilerplate_only():
+    lines = [f"Paragraph {k} of the story goes on with enough words to be read as running text, as articles have it." for k in range(6)]
+    ps = [f"<p>{x}</p>" for x in lines]
+    links = "<ul>" + "".join(f'<li><a href="/{k}"><span>Link {k}</span></a></li>' for k in range(5)) + "</ul>"
+    for tag in ("article", "main", "div"):
+        body = "".join(f'<div class="elementor-widget"><div class="elementor-widget-container">{p}</div></div>' for p in ps)
+        assert html_extract.main_text(f"<body><{tag}>{body}</{tag}></body>") == "\n".join(lines)
+        assert html_extract.main_text(f'<body><div class="widget">{"".join(ps)}</div></body>') == "\n".join(lines)
+    for name in ("notice", "related", "dialog", "share", "social", "login"):
+        page = f'<article>{"".join(ps[:3])}<section class="{name}">{"".join(ps[3:])}</section></article>'
+        assert html_extract.main_text(page) == "\n".join(lines), name
+        page = f'<article>{"".join(ps[:3])}<div class="{name}">{links}</div>{"".join(ps[3:])}<div class="{name}">Share</div></article>'
+        assert html_extract.main_text(page) == "\n".join(lines), name
+    assert html_extract.main_text(f'<article><div class="entry-header"><h1>Headline</h1></div>{"".join(ps)}</article>') == "\n".join(["Headline", *lines])
+    assert html_extract.main_text(f'<article>{"".join(ps)}<div class="comments">{"".join(ps)}</div></article>') == "\n".join(lines)

@@ -37,6 +37,8 @@ BOILERPLATE_NAMES = frozenset(
 #: A start tag on the left ends an open element on the right, up to a block around both.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 REGION_TAGS = frozenset(("article", "main"))
+#: Of these names, those that wrappers and sections of an article bear too.
+BROAD_NAMES = frozenset("dialog header login notice notices related share sharing social widget widgets".split())
 #: Share of the votes that the deepest region must hold where no article element is.
 REGION_SHARE = 0.7
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
@@ -50,6 +52,7 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, serial, silent, boilerplate
+        self.doubtful: set[int] = set()  # serials of elements with a broad name only
         self.kinds: list[str] = []  # tag by serial
         self.parts: list[str] = []
         self.tags = 0
@@ -74,7 +77,10 @@ class _Events(HTMLParser):
             self._imply(tag)
         silent, boiler = (self.open[-1][2], self.open[-1][3]) if self.open else (False, False)
         silent = silent or tag in SILENT_TAGS
-        boiler = boiler or self._is_boilerplate(tag, attrs)
+        found = self._is_boilerplate(tag, attrs)
+        boiler = boiler or found is True
+        if found is None:
+            self.doubtful.add(len(self.kinds))
         self.open.append((tag, len(self.kinds), silent, boiler))
         self.kinds.append(tag)
 
@@ -111,7 +117,8 @@ class _Events(HTMLParser):
             if name in BLOCK_TAGS and name != "p":
                 return
 
-    def _is_boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _is_boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
+        """None where only a broad name tells so."""
         if tag in BOILERPLATE_TAGS:
             return True
         inside = any(x[0] in REGION_TAGS for x in self.open)
@@ -119,6 +126,7 @@ class _Events(HTMLParser):
             return True
         if not attrs or tag in ("html", "body"):
             return False
+        doubtful = False
         for name, value in attrs:
             if not value:
                 continue
@@ -128,11 +136,15 @@ class _Events(HTMLParser):
                 value = value.lower()
                 if tag == "main" or (tag == "article" and not ("comment" in value or "reply" in value)):
                     continue
-                if not BOILERPLATE_NAMES.isdisjoint(_NAME_PARTS.split(value)):
+                parts = BOILERPLATE_NAMES.intersection(_NAME_PARTS.split(value))
+                if inside:
+                    parts -= {"header"}  # as the tag
+                if parts - BROAD_NAMES:
                     return True
+                doubtful = doubtful or bool(parts)
             elif name in ("hidden", "aria-modal") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                 return True
-        return False
+        return None if doubtful else False
 
 
 def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
@@ -161,6 +173,22 @@ def content_lines(ratios: list[float]) -> list[bool]:
     return [x >= min(deviation, mean) for x in smooth]
 
 
+def _refuted(lines: list[tuple[str, int, tuple[int, ...], bool]], flags: list[bool], doubtful: set[int], kinds: list[str]) -> set[int]:
+    """Doubtful elements that their text says are boilerplate too: those whose
+    lines, headings aside, hold less than half as much text a tag as the median
+    content line.  Elements of headings alone are no boilerplate."""
+    usual = sorted(len(text) / max(1, tags) for (text, tags, _, kept), flag in zip(lines, flags, strict=True) if kept and flag)
+    bar = usual[len(usual) // 2] / 2 if usual else 0.0
+    held: dict[int, list[int]] = {}
+    for text, tags, path, _ in lines:
+        if path and kinds[path[-1]] not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            for serial in doubtful.intersection(path):
+                sums = held.setdefault(serial, [0, 0])
+                sums[0] += len(text)
+                sums[1] += tags
+    return {serial for serial, (chars, tags) in held.items() if chars / max(1, tags) < bar}
+
+
 def main_text(html: str) -> str:
     """The article's lines joined by newlines, '' if there are none."""
     events = _Events()
@@ -169,6 +197,9 @@ def main_text(html: str) -> str:
     events.flush()
     lines = events.lines
     flags = content_lines([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    if events.doubtful:
+        gone = _refuted(lines, flags, events.doubtful, events.kinds)
+        lines = [(text, tags, path, kept and gone.isdisjoint(path)) for text, tags, path, kept in lines]
     votes: dict[int, int] = {}
     depth: dict[int, int] = {}
     total = 0
