@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinage.functions import binary, metrics
-from vicinage.operators import estimators, exact, kmeans, pivots, range_search
+from vicinage.operators import estimators, evaluate, exact, kmeans, pivots, range_search
 from vicinage.operators.ivf import IVFIndex
 from vicinage.operators.mih import MIHIndex, masks, n_masks
 from vicinage.plans import describe
-from vicinage.sources import datagen, fvecs, storage
+from vicinage.sources import datagen, fvecs
 
 POINTS = [(0, [-2.5, 0.0]), (1, [-2.58, 0.0]), (2, [0.0, 0.0]), (3, [2.5, 0.0]), (4, [2.6, 0.0])]
 
@@ -159,7 +159,7 @@ def test_kmeans_equals_numpy(spark):
         if np.allclose(after, c, atol=0):
             break
         c = after
-    got = kmeans.kmeans(d, 5)
+    got = kmeans.kmeans(d, 5, seeds="first")
     if len(set(cells)) == 5:
         np.testing.assert_allclose(np.array(got.centroids), c, atol=1e-6)
         assert [r["cell"] for r in got.labels.orderBy("id").collect()] == cells.tolist()
@@ -192,15 +192,18 @@ def test_storage_round_trip(spark, tmp_path):
     d = datagen.gaussian_clusters(spark, 100, 4, 3).select("id", "vec")
     q = d.where("id < 5").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
     index = IVFIndex(4, 4, max_iter=2).fit(d)
-    storage.save_ivf(index, str(tmp_path / "ivf"))
-    again = storage.load_ivf(spark, str(tmp_path / "ivf"))
+    index.save(str(tmp_path / "ivf"))
+    again = IVFIndex.load(spark, str(tmp_path / "ivf"))
     assert sorted(again.search(q, 3).collect()) == sorted(index.search(q, 3).collect())
     w = frame(spark, random_words(20, 2, 1), "array<long>")
-    storage.save_mih(MIHIndex(4).fit(w, 2), str(tmp_path / "mih"))
-    assert storage.load_mih(spark, str(tmp_path / "mih")).n == 20
-    w.limit(3).write.mode("append").parquet(str(tmp_path / "mih" / "rows"))
+    MIHIndex(4).fit(w, 2).save(str(tmp_path / "mih"))
+    stored = MIHIndex.load(spark, str(tmp_path / "mih"))
+    assert stored.n == 20 and stored.postings.count() == 80 and stored.nbytes == 8 and stored.bits == 16
+    with pytest.raises(ValueError, match="kind"):
+        IVFIndex.load(spark, str(tmp_path / "mih" / "vectors"))
+    w.limit(3).write.mode("append").parquet(str(tmp_path / "mih" / "vectors" / "rows"))
     with pytest.raises(ValueError, match="checksum"):
-        storage.load_mih(spark, str(tmp_path / "mih"))
+        MIHIndex.load(spark, str(tmp_path / "mih"))
 
 
 def test_fvecs(spark, tmp_path):
@@ -228,3 +231,158 @@ def test_stream_of_queries(spark, tmp_path):
     found = []
     stream_knn(stream, d, 1, "l2", lambda df, n: found.extend(df.collect()), dim=2).awaitTermination()
     assert sorted((r["qid"], r["id"]) for r in found) == [(0, 1), (1, 4)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "linf", "l2sq", "hamming"])
+def test_plans_agree(spark, metric, monkeypatch):
+    """Blocks of a few rows, ties, repeated vectors, and queries beyond the bound."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (60, 12 if metric != "hamming" else 2))
+    x[20:30] = x[3]
+    kind = "array<long>" if metric == "hamming" else "array<double>"
+    d = frame(spark, [(i, [int(c) if metric == "hamming" else float(c) for c in v]) for i, v in enumerate(x)], kind)
+    q = d.where("id % 4 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    for own in (False, True):
+        a, b, c = (sorted(exact.knn_join(q, d, 7, metric, exclude_self=own, plan=p).collect()) for p in ("cross", "block", "grid"))
+        assert [tuple(r)[:2] + (r["rank"],) for r in a] == [tuple(r)[:2] + (r["rank"],) for r in b] and b == c
+        assert len(a) == 15 * 7 and np.allclose([r["distance"] for r in a], [r["distance"] for r in b])
+    monkeypatch.setattr(exact, "GRID_BYTES", 1000)
+    everything = sorted(exact.pairs(q, d, metric, x.shape[1]).select("qid", "id").collect())
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", 100)
+    again = exact.knn_join(q, d, 7, metric)
+    assert [tuple(r)[:2] for r in sorted(again.collect())] == [tuple(r)[:2] for r in sorted(b)] or own
+    assert sorted(exact.pairs(q, d, metric, x.shape[1]).select("qid", "id").collect()) == everything
+    assert not describe.plan_facts(again)["CartesianProduct"]
+
+
+def test_range_join_beyond_the_bound(spark, monkeypatch):
+    d = frame(spark, random_words(200, 2, 1), "array<long>")
+    q = datagen.flip_bits(d.where("id % 10 = 0"), 2, 3).select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    expected = sorted(range_search.range_join(q, d, 22, 2).collect())
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(exact, "GRID_BYTES", 1000)
+    found = range_search.range_join(q, d, 22, 2)
+    assert sorted(found.collect()) == expected and not describe.plan_facts(found)["CartesianProduct"]
+
+
+def test_work_is_spread_over_tasks(spark, tmp_path):
+    d = datagen.gaussian_clusters(spark, 2000, 8, 5).select("id", "vec")
+    d.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert exact.spread(one, 100).rdd.getNumPartitions() == 1
+    assert exact.spread(one, 2000 * 200).rdd.getNumPartitions() == min(13, spark.sparkContext.defaultParallelism)
+
+
+def test_parallel_seeds(spark):
+    d = datagen.gaussian_clusters(spark, 400, 6, 8, spread=1000).select("id", "vec")
+    seeds = kmeans.parallel_seeds(d, 8, "l2sq")
+    assert len({tuple(s) for s in seeds}) == 8 and seeds == kmeans.parallel_seeds(d, 8, "l2sq")
+    cost = lambda how: kmeans.kmeans(d, 8, max_iter=5, seeds=how)
+    spread = lambda built: kmeans.assign(d, built.centroids).agg(F.sum("distance")).first()[0]
+    assert spread(cost("parallel")) < 1e6  # every cluster has a centroid of its own
+    same = frame(spark, [(i, [1.0, 2.0]) for i in range(5)] + [(5, [3.0, 4.0])])
+    assert len(kmeans.parallel_seeds(same, 3, "l2sq")) == 3
+    w = frame(spark, random_words(50, 2, 3), "array<long>")
+    assert len({tuple(s) for s in kmeans.parallel_seeds(w, 6, "hamming")}) == 6
+
+
+def test_indexes_are_stored_and_read_again(spark, tmp_path):
+    d = datagen.gaussian_clusters(spark, 300, 3, 8, spread=20).select("id", "vec")
+    q = d.where("id % 30 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    for metric in ("l2", "l1", "linf"):
+        index = pivots.PivotIndex(metric, 6).fit(d)
+        index.save(str(tmp_path / metric))
+        again = pivots.PivotIndex.load(spark, str(tmp_path / metric))
+        assert again.cells == index.cells and len(again.cells) > 6  # halves by the median
+        assert sorted(again.search(q, 4).collect()) == sorted(index.search(q, 4).collect())
+    w = frame(spark, random_words(40, 2, 1), "array<long>")
+    kept = range_search.RangeIndex(2).set(w)
+    kept.save(str(tmp_path / "range"))
+    assert range_search.RangeIndex.load(spark, str(tmp_path / "range")).size() == 40
+    for unbuilt in (pivots.PivotIndex(), range_search.RangeIndex(2), IVFIndex(), MIHIndex()):
+        with pytest.raises(RuntimeError):
+            unbuilt.save(str(tmp_path / "none"))
+    empty = pivots.PivotIndex("l2", 4).fit(d.where("id < 0"))
+    assert empty.search(q, 3).count() == 0
+
+
+def test_index_properties(spark):
+    d = datagen.gaussian_clusters(spark, 200, 4, 10, spread=50).select("id", "vec")
+    q = d.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    index = IVFIndex(10, 50, max_iter=3).fit(d)
+    assert (index.nlist, index.n_probe, index.n_clusters) == (10, 10, 10) and sum(index.sizes.values()) == 200
+    assert index.set_nprobe(1).n_probe == 1 and index.set_nprobe(99).n_probe == 10
+    with pytest.raises(ValueError):
+        index.set_nprobe(0)
+    one = index.search(q, 200, n_probe=1).groupBy("qid").count().collect()
+    assert all(0 < r["count"] < 200 for r in one)
+    assert index.points.inputFiles() and all("cell=" in f for f in index.points.inputFiles())
+    mih = MIHIndex(4).fit(frame(spark, random_words(30, 2, 1), "array<long>"), 2)
+    assert (mih.m, mih.n, mih.nbytes, mih.bits) == (4, 30, 8, 16)
+
+
+def test_joined_probes_equal_scanned_ones(spark, monkeypatch):
+    d = datagen.gaussian_clusters(spark, 300, 4, 10, spread=30).select("id", "vec")
+    q = d.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    index = IVFIndex(10, 4, max_iter=3).fit(d)
+    scanned = index.search(q, 5).select("qid", "id", "rank").collect()
+    monkeypatch.setattr("vicinage.operators.ivf.fits", lambda rows, dim: rows < 12)
+    assert sorted(index.search(q, 5).select("qid", "id", "rank").collect()) == sorted(scanned)
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_probed_cells_reach_the_recall(spark, sf):
+    """Recall of the index queries on the tables they run on, against brute force."""
+    from vicinage import queries
+
+    d = queries.data(spark, f"/root/testdata/sf{sf}")
+    w = queries.words(d).select("id", "vec")
+    for rows, metric, exactly in ((d, "l2sq", "l2"), (w, "hamming", "hamming")):
+        truth = exact.knn_join(queries.asks(rows), rows, queries.K, exactly)
+        found = IVFIndex(queries.CELLS, queries.PROBES, metric).fit(rows, centroids=queries._first(rows)).search(queries.asks(rows), queries.K)
+        assert evaluate.recall_at_k(truth, found).first()["recall"] >= 0.9, (sf, metric)
+
+
+def test_classes_and_unfitted_estimators(spark):
+    d = spark.createDataFrame([(0, [0.0], 2), (1, [1.0], 1), (2, [5.0], 2)], "id long, vec array<double>, label long")
+    fitted = estimators.KNeighborsClassifier(2).fit(d)
+    assert fitted.classes() == [1, 2]
+    assert not hasattr(estimators.KNeighborsClassifier(2), "predict")
+    with pytest.raises(ValueError, match="metric"):
+        estimators.NearestNeighbors(2, "cosine")
+
+
+def test_generated_bytes_and_noise(spark):
+    d = datagen.gaussian_clusters(spark, 500, 3, 5, kind="uint8")
+    values = np.array([r["vec"] for r in d.collect()])
+    assert values.min() >= 0 and values.max() <= 255 and d.schema["vec"].dataType.simpleString() == "array<int>"
+    noise = np.array([r[0] for r in spark.range(4000).select(datagen.normal(1, F.col("id"))).collect()])
+    assert abs(noise.mean()) < 0.05 and abs(noise.std() - 1) < 0.05
+    with pytest.raises(ValueError):
+        datagen.gaussian_clusters(spark, 5, 3, 5, kind="text")
+
+
+def test_timing_and_sweeps(spark):
+    assert evaluate.trimmed_mean([1.0, 1.0, 1.0, 9.0]) == 1.0 and evaluate.trimmed_mean([2.0]) == 2.0
+    found = evaluate.measure([evaluate.Case("range", lambda n: spark.range(n), {"n": 5})], runs=2)
+    assert found[0]["name"] == "range" and found[0]["n"] == 5 and found[0]["seconds"] > 0
+    assert [r["rows"] for r in evaluate.build_sweep([3, 4], spark.range, lambda d: d.count())] == [3, 4]
+    d = datagen.gaussian_clusters(spark, 200, 4, 10, spread=50).select("id", "vec")
+    q = d.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    recalls = [r["recall"] for r in evaluate.recall_sweep(IVFIndex(8, 2, max_iter=2).fit(d), q, exact.knn_join(q, d, 5, "l2sq"), 5, [1, 4, 8])]
+    assert recalls == sorted(recalls) and recalls[-1] == 1.0
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from vicinage.sources import staging
+
+    class Defined:
+        def isDefined(self):
+            return False
+
+    class Session:
+        conf = spark.conf
+        sparkContext = type("C", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Defined()})()})()})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Session())

@@ -3,30 +3,41 @@
 ``queries(qid, q)`` meet ``data(id, vec)``; the result is ``(qid, id, distance,
 rank)``, nearest first, ties to the smaller id, ``rank`` from 1.
 
-Three plans give the same rows:
-
-* ``cross``: a nested-loop join with the (checked) smaller side broadcast, then
-  ``row_number() <= k``, which Catalyst turns into a partial top-k before the only
-  shuffle, so at most ``k`` rows a query and partition move;
-* ``block``: queries as one matrix (checked size) against Arrow batches of data,
-  the top ``k`` of each batch moves on; for long vectors and many queries;
+Four plans give the same rows:
+
+* ``cross``: a nested-loop join with the queries broadcast (their size is checked),
+  then ``row_number() <= k``, which Catalyst turns into a partial top-k before the
+  only shuffle, so at most ``k`` rows a query and partition move; the plan for bits
+  and for few dimensions;
+* ``block``: queries as one matrix (checked size) that travels with the function,
+  against Arrow batches of data, the top ``k`` of each batch moves on; the plan for
+  longer vectors, where generated code for every component grows too large;
+* ``grid``: queries and data dealt into blocks of bounded size, every pair of blocks a
+  group of its own; the plan for queries beyond the bound of the others;
 * pivots (``vicinage.operators.pivots``): cells that cannot hold a neighbour are
   skipped; worth it for few dimensions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions.metrics import distance, resolve
 
-#: Bytes of a side that a nested-loop join may broadcast; beyond it queries go in chunks.
+#: Bytes of queries that are broadcast or travel with a function; beyond it the grid is used.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of vectors in a block of the grid, and distances that are held at once.
+GRID_BYTES, HELD = 16 << 20, 1 << 21
+#: Components up to which a nested loop's generated code is small enough to be compiled well.
+CROSS_DIM = 8
+#: Pairs of a query and a row that make a task worth while, and that a task has at most.
+LEAST_PAIRS, MOST_PAIRS = 1 << 15, 1 << 28
 
 
 def dimension(df: DataFrame, column: str) -> int:
@@ -49,37 +60,68 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("qid", "id", "distance", "rank")
 
 
-def _smaller_broadcast(queries: DataFrame, data: DataFrame, dim: int, rows: int | None = None) -> DataFrame:
-    n = queries.count() if rows is None else rows
-    return F.broadcast(queries) if n * (8 * max(dim, 1) + 16) <= BROADCAST_BYTES else queries
+def fits(rows: int, dim: int) -> bool:
+    """Whether so many vectors may be broadcast or travel with a function."""
+    return rows * (8 * max(dim, 1) + 16) <= BROADCAST_BYTES
+
+
+def smaller_broadcast(queries: DataFrame, dim: int) -> DataFrame:
+    """``queries``, marked for broadcast if they fit; for equi-joins, which Spark can
+    do by shuffle as well."""
+    return F.broadcast(queries) if fits(queries.count(), dim) else queries
+
+
+def spread(data: DataFrame, pairs: int) -> DataFrame:
+    """``data`` in as many partitions as so many pairs are worth.  A table of more
+    files than that stays as it is; a small one may lie in a single partition, and
+    then all work would be one task's."""
+    session = data.sparkSession
+    tasks = min(math.ceil(pairs / LEAST_PAIRS), max(session.sparkContext.defaultParallelism, math.ceil(pairs / MOST_PAIRS)))
+    if data.isStreaming or tasks < 2 or len(data.inputFiles()) >= tasks:
+        return data
+    return data.repartition(tasks, "id")
+
+
+def materialised(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the column computed once a row.  Generated code computes a column
+    where it is used, in a nested loop once a pair; a generator's output is held."""
+    return df.withColumn(column, F.explode(F.array(column)))
 
 
 def pairs(queries: DataFrame, data: DataFrame, metric: str, dim: int, *, exclude_self: bool = False) -> DataFrame:
     """Every query with every row: ``qid, id, distance``."""
+    n = queries.count()
+    if not fits(n, dim):
+        return grid(queries, data, metric, dim, exclude_self=exclude_self)
     on = F.col("qid") != F.col("id") if exclude_self else None
-    side = _smaller_broadcast(queries, data, dim)
-    both = data.join(side, on, "inner") if on is not None else data.crossJoin(side)
+    streamed, side = materialised(spread(data, n * data.count()), "vec"), F.broadcast(queries)
+    both = streamed.join(side, on, "inner") if on is not None else streamed.crossJoin(side)
     return both.select("qid", "id", distance(metric, F.col("q"), F.col("vec"), dim).alias("distance"))
 
 
-def knn_join(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", *, dim: int | None = None, exclude_self: bool = False, plan: str = "cross") -> DataFrame:
+def knn_join(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", *, dim: int | None = None, exclude_self: bool = False, plan: str = "auto") -> DataFrame:
     """The ``k`` nearest rows of every query (all, if there are fewer).
 
     ``dim`` spares the pass that reads the vectors' length.  ``exclude_self``
-    leaves out the row whose id is the query's.  Empty data or queries give no rows."""
+    leaves out the row whose id is the query's.  Empty data or queries give no rows.
+    ``plan`` is ``cross``, ``block``, ``grid`` or, by metric and size, ``auto``."""
     check_k(k)
     resolve(metric)
     dim = dimension(data, "vec") if dim is None else dim
-    if plan == "block":
-        return _block_knn(queries, data, k, metric, dim, exclude_self)
-    return top_k(pairs(queries, data, metric, dim, exclude_self=exclude_self), k)
+    if plan == "auto":
+        plan = "cross" if dim <= CROSS_DIM else "block"
+    if plan not in ("cross", "block", "grid"):
+        raise ValueError(f"unknown plan: {plan!r}")
+    if plan == "cross":
+        return top_k(pairs(queries, data, metric, dim, exclude_self=exclude_self), k)
+    if plan == "block" and fits(n := queries.count(), dim):
+        return top_k(_block(queries, spread(data, n * data.count()), k, metric, dim, exclude_self), k)
+    return top_k(grid(queries, data, metric, dim, k=k, exclude_self=exclude_self), k)
 
 
 def nn1_join(queries: DataFrame, data: DataFrame, metric: str = "l2", *, dim: int | None = None) -> DataFrame:
-    """The nearest row of every query, by a map-side minimum: ``qid, id, distance``."""
-    dim = dimension(data, "vec") if dim is None else dim
-    nearest = pairs(queries, data, metric, dim).groupBy("qid").agg(F.min(F.struct("distance", "id")).alias("m"))
-    return nearest.select("qid", F.col("m.id").alias("id"), F.col("m.distance").alias("distance"))
+    """The nearest row of every query: ``qid, id, distance``."""
+    return knn_join(queries, data, 1, metric, dim=dim).drop("rank")
 
 
 def nested(knn: DataFrame) -> DataFrame:
@@ -87,10 +129,16 @@ def nested(knn: DataFrame) -> DataFrame:
     return knn.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("neighbours"))
 
 
-def _block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of every row of ``q`` (rows) and of ``x`` (columns)."""
     kind = resolve(metric)
     if kind in ("l2", "l2sq"):
         sq = np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T)
+        # the difference of large numbers is not exact near 0: compute those pairs afresh
+        near = np.nonzero(sq <= 1e-6 * ((q * q).sum(1)[:, None] + (x * x).sum(1)[None]))
+        for at in range(0, len(near[0]), 1 << 14):
+            i, j = near[0][at : at + (1 << 14)], near[1][at : at + (1 << 14)]
+            sq[i, j] = ((q[i] - x[j]) ** 2).sum(1)
         return np.sqrt(sq) if kind == "l2" else sq
     out = np.zeros((len(q), len(x)))
     for d in range(q.shape[1]):
@@ -103,41 +151,82 @@ def _block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_knn(queries: DataFrame, data: DataFrame, k: int, metric: str, dim: int, exclude_self: bool, chunk: int = 512) -> DataFrame:
-    rows = queries.count()
-    if rows * 8 * max(dim, 1) > BROADCAST_BYTES:
-        raise ValueError("too many queries for one matrix; split them or use plan='cross'")
-    got = queries.select("qid", "q").toPandas()  # bounded by the check above
-    qids = got["qid"].to_numpy(np.int64)
-    matrix = np.array(got["q"].tolist(), np.float64).reshape(len(qids), -1)
+def vectors_of(column: pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
+    """Rows of a list column as a matrix, of integers for bits."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.int64 if resolve(metric) == "hamming" else np.float64).reshape(len(column), -1)
+
+
+def nearest(metric: str, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int | None, exclude_self: bool, most: float = math.inf) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query ids, ids and distances of each query's ``k`` nearest rows (of all, if
+    None), ties to the smaller id, of those at ``most`` away."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    step = max(1, HELD // max(1, len(ids)))
+    for at in range(0, len(qids), step):
+        some = qids[at : at + step]
+        d = block_distances(metric, q[at : at + step], x)
+        if exclude_self:
+            d[some[:, None] == ids[None]] = np.inf
+        bar = np.full((len(some), 1), most)
+        if k is not None and k < len(ids):  # what lies above the k-th distance is not among the k nearest
+            bar = np.minimum(bar, np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        rows, cols = np.nonzero((d <= bar) & np.isfinite(d))
+        far = d[rows, cols]
+        if k is not None:
+            by = np.lexsort((cols, far, rows))
+            rows, cols, far = rows[by], cols[by], far[by]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(some)))[rows] < k
+            rows, cols, far = rows[keep], cols[keep], far[keep]
+        yield some[rows], ids[cols], far
+
+
+def _answer(found: Iterator[tuple], whole: bool) -> Iterator[pa.RecordBatch]:
+    for q, i, d in found:
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(d.astype(np.int64) if whole else d)], names=["qid", "id", "distance"])
+
+
+def collected(queries: DataFrame, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of queries that fit (see :func:`fits`)."""
+    got = queries.select(F.col("qid").cast("long").alias("qid"), "q").toArrow()
+    return got.column("qid").to_numpy(), vectors_of(got.column("q"), metric)
+
+
+def _block(queries: DataFrame, data: DataFrame, k: int, metric: str, dim: int, exclude_self: bool) -> DataFrame:
+    qids, matrix = collected(queries, metric)
     whole = resolve(metric) == "hamming"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(qids):
-                continue
-            ids = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            for at in range(0, len(qids), chunk):
-                d = _block_distances(metric, matrix[at : at + chunk], x)
-                some = qids[at : at + chunk]
-                if exclude_self:
-                    d[some[:, None] == ids[None]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                far = np.take_along_axis(d, near, 1)
-                keep = np.isfinite(far)
-                q = np.repeat(some, keep.sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[near][keep]), pa.array(far[keep])], names=["qid", "id", "distance"])
-
-    part = data.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "qid long, id long, distance double")
-    if whole:
-        part = part.withColumn("distance", F.col("distance").cast("long"))
-    return top_k(part, k)
-
-
-def nearest_of(values: Column, k: int) -> Column:
-    """First ``k`` elements of a sorted array of ``struct<distance, id>``."""
-    return F.slice(F.array_sort(values), 1, k)
+            if batch.num_rows and len(qids):
+                yield from _answer(nearest(metric, qids, matrix, batch.column(0).to_numpy(), vectors_of(batch.column(1), metric), k, exclude_self), whole)
+
+    return data.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, f"qid long, id long, distance {'long' if whole else 'double'}")
+
+
+def grid(queries: DataFrame, data: DataFrame, metric: str, dim: int, *, k: int | None = None, most: float = math.inf, exclude_self: bool = False) -> DataFrame:
+    """``qid, id, distance`` of each query's ``k`` nearest rows (of all, if None) in
+    every block of data, at most ``most`` away.
+
+    Hashes deal queries and data into blocks of about ``GRID_BYTES``; each pair of
+    blocks is a group, so a task holds two blocks however large the sides are, and no
+    side is broadcast.  A query moves once a block of data, a row once a block of
+    queries."""
+    width = 8 * max(dim, 1) + 16
+    n_q, n_d = (max(1, math.ceil(df.count() * width / GRID_BYTES)) for df in (queries, data))
+    whole = resolve(metric) == "hamming"
+    side = lambda df, i, v, own, mine, other, ask: df.select(F.col(i).cast("long").alias("id"), F.transform(v, lambda x: x.cast("long" if whole else "double")).alias("vec"), F.pmod(F.xxhash64(F.lit(own), i), F.lit(mine)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("d" if own == "q" else "q"), F.lit(ask).alias("ask"))
+    both = side(queries, "qid", "q", "q", n_q, n_d, True).unionByName(side(data, "id", "vec", "d", n_d, n_q, False))
+
+    def solve(group: pa.Table) -> pa.Table:
+        ask = np.asarray(group.column("ask"))
+        ids, v = group.column("id").to_numpy(), vectors_of(group.column("vec"), metric)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if ask.any() and not ask.all():
+            found += nearest(metric, ids[ask], v[ask], ids[~ask], v[~ask], k, exclude_self, most)
+        q, i, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"qid": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "distance": pa.array(d.astype(np.int64) if whole else d)})
+
+    tasks = max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)  # work, not bytes, sets their number
+    return both.repartition(tasks, "q", "d").groupBy("q", "d").applyInArrow(solve, f"qid long, id long, distance {'long' if whole else 'double'}")

@@ -5,7 +5,7 @@ agrees with it to within ``radius // m`` bits in some substring.  Candidates com
 from an equi-join of the substrings' neighbour keys with the postings, or, where
 there are too many neighbour keys, from the equivalent bit-count predicate.
 Candidates are verified in full and ranked; ``radius`` only bounds where they are
-looked for and does not filter what is found.
+looked for and does not filter what is found.  ``fit`` writes rows and postings once.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import itertools
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.functions.binary import WORD_BITS, hamming_words, substring_of_words
-from vicinage.operators.exact import _smaller_broadcast, check_k, top_k
+from vicinage.operators.exact import check_k, smaller_broadcast, top_k
+from vicinage.sources.staging import Staged
+from vicinage.sources.storage import load_table, save_table
 
 #: Neighbour keys a substring up to which they are enumerated and joined.
 MOST_MASKS = 4096
@@ -53,10 +55,27 @@ class MIHIndex:
             raise ValueError(f"m={self.m} does not cut {n_bytes} bytes into equal parts of at most 8 bytes")
         if (8 * n_bytes // self.m) > WORD_BITS and (8 * n_bytes // self.m) != 64 or (8 * n_bytes // self.m) == 24:
             raise ValueError("substrings must be 8, 16, 32 or 64 bits wide")
-        self.n_words, self.rows = n_words, data.select("id", "vec")
-        self.postings = self._keys(self.rows, "vec").select("id", "t", "key")
+        self.n_words = n_words
+        self.rows = Staged(data.select("id", "vec"), "mih-rows").df
+        self.postings = Staged(self._sorted(self._keys(self.rows, "vec").select("id", "t", "key")), "mih-postings").df
         return self
 
+    def _sorted(self, postings: DataFrame) -> DataFrame:
+        """Postings with equal keys lie together, in files sorted by key."""
+        return postings.repartition("t", "key").sortWithinPartitions("t", "key")
+
+    def save(self, path: str) -> None:
+        if self.rows is None:
+            raise RuntimeError("index is not built")
+        meta = {"kind": "mih", "m": self.m, "n_words": self.n_words}
+        save_table(self.rows, f"{path}/vectors", meta=meta)
+        save_table(self._sorted(self.postings), f"{path}/postings", meta=meta)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> MIHIndex:
+        rows, meta = load_table(spark, f"{path}/vectors", kind="mih")
+        return cls(meta["m"], meta["n_words"], rows, load_table(spark, f"{path}/postings", kind="mih")[0])
+
     @property
     def bits(self) -> int:
         return WORD_BITS * self.n_words // self.m
@@ -77,7 +96,7 @@ class MIHIndex:
         else:
             asked = asked.withColumnRenamed("key", "qkey")
             near = F.bit_count(F.col("key").bitwiseXOR(F.col("qkey"))) <= flips
-            hits = self.postings.join(_smaller_broadcast(asked, self.postings, 2).withColumnRenamed("t", "qt"), (F.col("t") == F.col("qt")) & near)
+            hits = self.postings.join(smaller_broadcast(asked, 2).withColumnRenamed("t", "qt"), (F.col("t") == F.col("qt")) & near)
         return hits.select("qid", "id").distinct()
 
     def search(self, queries: DataFrame, k: int, radius: int = 8, *, plan: str | None = None) -> DataFrame:
@@ -85,7 +104,7 @@ class MIHIndex:
         if self.rows is None:
             raise RuntimeError("index is not built")
         found = self.candidates(queries, radius, plan=plan)
-        full = found.join(self.rows, "id").join(_smaller_broadcast(queries.select("qid", "q"), self.rows, self.n_words), "qid")
+        full = found.join(self.rows, "id").join(smaller_broadcast(queries.select("qid", "q"), self.n_words), "qid")
         return top_k(full.select("qid", "id", hamming_words(F.col("q"), F.col("vec"), self.n_words).alias("distance")), k)
 
     @property

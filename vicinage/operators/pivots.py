@@ -1,21 +1,26 @@
 """Exact search with cells around pivots: metric pruning as joins.
 
-Phase 1 scans each query's nearest cells until they hold ``k`` rows and takes the
-k-th distance found; phase 2 scans only cells whose lower bound (triangle
-inequality on the smallest and largest distance to the pivot; for L2 also the
-hyperplane between two pivots) does not exceed it.  Valid for L2, L1, L-infinity
-and Hamming, not for squared L2.
+Every row belongs to its nearest pivot and, by the median of the distances there, to
+the inner or the outer half: a cell is a half, with its smallest and largest distance
+to the pivot.  ``fit`` writes the rows once, those of a cell together.  Phase 1 scans
+each query's nearest cells until they hold ``k`` rows and takes the k-th distance
+found; phase 2 scans only cells whose lower bound (triangle inequality on the smallest
+and largest distance; for L2 also the hyperplane between two pivots) does not exceed
+it.  Valid for L2, L1, L-infinity and Hamming, not for squared L2.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions.metrics import distance, resolve
-from vicinage.operators.exact import check_k, dimension, top_k
+from vicinage.operators.exact import check_k, dimension, fits, top_k
+from vicinage.operators.kmeans import with_cells
+from vicinage.sources.staging import Staged
+from vicinage.sources.storage import clustered, load_table, save_table
 
 #: Slack that rounding may take from a bound.
 EPSILON = 1e-9
@@ -25,43 +30,59 @@ def spread_pivots(data: DataFrame, n: int, metric: str, dim: int, *, pool: int =
     """``n`` pivots: of ``pool * n`` drawn rows those whose distances to a bounded
     sample vary most, as a vantage point should."""
     drawn = data.orderBy(F.xxhash64("id"), "id").limit(pool * n + probes)
-    sample = drawn.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(probes).select(F.col("vec").alias("s"))
+    sample = drawn.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(probes).select(F.col("vec").alias("s"))  # `probes` rows are broadcast
     picked = drawn.limit(pool * n).crossJoin(F.broadcast(sample)).groupBy("id").agg(F.var_pop(distance(metric, F.col("vec"), F.col("s"), dim)).alias("spread"), F.first("vec").alias("vec"))
     return [list(r["vec"]) for r in picked.orderBy(F.desc("spread"), "id").limit(n).collect()]
 
 
 @dataclass
 class PivotIndex:
+    """``cells``: one tuple a cell: number, pivot, smallest and largest distance, rows."""
+
     metric: str = "l2"
     n_pivots: int = 16
     dim: int = 0
+    cells: list[tuple] = field(default_factory=list, repr=False)
     points: DataFrame | None = field(default=None, repr=False)
-    cells: DataFrame | None = field(default=None, repr=False)
 
-    def fit(self, data: DataFrame, pivots: list[list] | None = None) -> PivotIndex:
-        if resolve(self.metric) == "l2sq":
+    def __post_init__(self):
+        self.metric = resolve(self.metric)
+        if self.metric == "l2sq":
             raise ValueError("squared L2 is no metric; use l2")
+
+    def fit(self, data: DataFrame, pivots: list[list] | None = None) -> PivotIndex:
+        """Build from ``id, vec``; without rows the index is empty."""
         self.dim = dimension(data, "vec")
-        spark = data.sparkSession
-        pivots = pivots or spread_pivots(data, self.n_pivots, self.metric, self.dim)
-        kind = "long" if resolve(self.metric) == "hamming" else "double"
-        rows = [(k, [int(x) if kind == "long" else float(x) for x in p]) for k, p in enumerate(pivots)]
-        self.pivots = spark.createDataFrame(rows, f"cell int, pivot array<{kind}>")
-        near = data.crossJoin(F.broadcast(self.pivots)).select("id", "vec", F.struct(distance(self.metric, F.col("vec"), F.col("pivot"), self.dim).alias("d"), "cell").alias("m"))
-        best = near.groupBy("id").agg(F.min("m").alias("m"), F.first("vec").alias("vec"))
-        # clustered by cell, so that a scan of a cell reads neighbours
-        self.points = best.select("id", "vec", F.col("m.cell").alias("cell"), F.col("m.d").alias("pd"))
-        self.cells = self.points.groupBy("cell").agg(F.min("pd").alias("r_min"), F.max("pd").alias("r_max"), F.count("*").alias("n")).join(F.broadcast(self.pivots), "cell")
+        whole = self.metric == "hamming"
+        pivots = [[int(x) if whole else float(x) for x in p] for p in pivots or spread_pivots(data, self.n_pivots, self.metric, self.dim)]
+        if not pivots:
+            self.cells, self.points = [], data.select("id", "vec", F.lit(0).alias("cell"))
+            return self
+        if not fits(len(pivots), self.dim):
+            raise ValueError("the pivots are too many to be broadcast")
+        near = with_cells(data, pivots, self.metric)
+        halves = {r["cell"]: (r["median"], r["n"]) for r in near.groupBy("cell").agg(F.percentile_approx("distance", 0.5).alias("median"), F.count("*").alias("n")).collect()}  # one row a pivot
+        median = F.create_map(*[F.lit(x) for cell, (m, _) in halves.items() for x in (cell, float(m))])
+        placed = near.select("id", "vec", "distance", (2 * F.col("cell") + (F.col("distance") > median[F.col("cell")]).cast("int")).alias("cell"))
+        sizes = {2 * cell + half: -(-n // 2) for cell, (_, n) in halves.items() for half in (0, 1)}
+        points = Staged(clustered(placed, "cell", sizes), "pivots").df
+        found = points.groupBy("cell").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count("*").alias("n")).collect()
+        self.cells = sorted((r["cell"], pivots[r["cell"] // 2], float(r["lo"]), float(r["hi"]), r["n"]) for r in found)
+        self.points = points.select("id", "vec", "cell")
         return self
 
+    def cell_table(self, spark: SparkSession) -> DataFrame:
+        """``cell, pivot, r_min, r_max, n``."""
+        kind = "long" if self.metric == "hamming" else "double"
+        return spark.createDataFrame(self.cells, f"cell int, pivot array<{kind}>, r_min double, r_max double, n long")
+
     def _bounds(self, queries: DataFrame) -> DataFrame:
         """``qid, q, cell, dp, lb, n``: bounds of every cell for every query."""
-        cells = F.broadcast(self.cells)
-        d = queries.crossJoin(cells).withColumn("dp", distance(self.metric, F.col("q"), F.col("pivot"), self.dim).cast("double"))
-        own = Window.partitionBy("qid").orderBy("dp", "cell")
-        d = d.withColumn("own", F.first("pivot").over(own)).withColumn("own_d", F.first("dp").over(own))
+        d = queries.crossJoin(F.broadcast(self.cell_table(queries.sparkSession))).withColumn("dp", distance(self.metric, F.col("q"), F.col("pivot"), self.dim).cast("double"))
         lb = F.greatest(F.lit(0.0), F.col("dp") - F.col("r_max"), F.col("r_min") - F.col("dp"))
-        if resolve(self.metric) == "l2":
+        if self.metric == "l2":
+            own = Window.partitionBy("qid").orderBy("dp", "cell")
+            d = d.withColumn("own", F.first("pivot").over(own)).withColumn("own_d", F.first("dp").over(own))
             between = distance("l2", F.col("own"), F.col("pivot"), self.dim)
             plane = (F.col("dp") * F.col("dp") - F.col("own_d") * F.col("own_d")) / F.nullif(2 * between, F.lit(0.0))
             lb = F.greatest(lb, F.coalesce(plane, F.lit(0.0)))
@@ -69,9 +90,11 @@ class PivotIndex:
 
     def search(self, queries: DataFrame, k: int, *, exclude_self: bool = False) -> DataFrame:
         check_k(k)
+        if self.points is None:
+            raise RuntimeError("index is not built")
         need = k + 1 if exclude_self else k
         bounds = self._bounds(queries)
-        order = Window.partitionBy("qid").orderBy("dp", "cell")
+        order = Window.partitionBy("qid").orderBy("lb", "dp", "cell")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         first = bounds.withColumn("before", before).where(F.col("before") < need)
         tau = top_k(self._scan(first, exclude_self), k).groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("tau"))
@@ -91,3 +114,13 @@ class PivotIndex:
         tau = self.search(queries, k).groupBy("qid").agg(F.max("distance").alias("tau"))
         seen = bounds.join(tau, "qid").where("lb <= tau").agg(F.sum("n")).first()[0] or 0
         return seen / total if total else 0.0
+
+    def save(self, path: str) -> None:
+        if self.points is None:
+            raise RuntimeError("index is not built")
+        save_table(clustered(self.points, "cell", {c[0]: c[4] for c in self.cells}), path, meta={"kind": "pivots", "metric": self.metric, "n_pivots": self.n_pivots, "dim": self.dim, "cells": self.cells})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PivotIndex:
+        points, meta = load_table(spark, path, kind="pivots")
+        return cls(meta["metric"], meta["n_pivots"], meta["dim"], [tuple(c) for c in meta["cells"]], points)

@@ -10,17 +10,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.functions.binary import hamming_words
-from vicinage.operators.exact import _smaller_broadcast
+from vicinage.operators.exact import fits, grid, materialised, spread
+from vicinage.sources.storage import load_table, save_table
 
 
 def range_join(queries: DataFrame, data: DataFrame, t: int, n_words: int) -> DataFrame:
-    """Nested-loop join with the distance as its condition."""
+    """Nested-loop join with the distance as its condition; queries that are too
+    large to broadcast go block by block (see ``exact.grid``)."""
+    n = queries.count()
+    if not fits(n, n_words):
+        near = grid(queries, data, "hamming", n_words, most=t)
+        return near.join(data.select("id", F.col("vec").alias("key")), "id").select("qid", "id", "distance", "key")
     d = hamming_words(F.col("q"), F.col("vec"), n_words)
-    both = data.join(_smaller_broadcast(queries, data, n_words), d <= t, "inner")
+    both = materialised(spread(data, n * data.count()), "vec").join(F.broadcast(queries), d <= t, "inner")
     return both.select("qid", "id", d.alias("distance"), F.col("vec").alias("key"))
 
 
@@ -78,3 +84,13 @@ class RangeIndex:
         if self._rows is None:
             return queries.select("qid", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("distance"), F.col("q").alias("key")).limit(0)
         return (range_join_pivots if pivots else range_join)(queries, self._rows, t, self.n_words)
+
+    def save(self, path: str) -> None:
+        if self._rows is None:
+            raise RuntimeError("index is not built")
+        save_table(self._rows, path, meta={"kind": "range", "n_words": self.n_words})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RangeIndex:
+        rows, meta = load_table(spark, path, kind="range")
+        return cls(meta["n_words"]).set(rows)

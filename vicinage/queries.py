@@ -16,7 +16,8 @@ from vicinage.operators.ivf import IVFIndex
 from vicinage.operators.mih import MIHIndex
 from vicinage.plans import describe
 from vicinage.session import table
-from vicinage.sources import datagen, storage
+from vicinage.sources import datagen
+from vicinage.sources.staging import fresh_path
 
 DIM, WORDS, ASK, K = 64, 2, 10, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +90,9 @@ for _m in ("l2", "l1", "linf", "l2sq"):
 def _(spark, sf_dir):
     d = data(spark, sf_dir).withColumn("n", metrics.dot(F.col("vec"), F.col("vec"), DIM))
     q = asks(d).withColumn("qn", metrics.dot(F.col("q"), F.col("q"), DIM))
-    both = d.crossJoin(F.broadcast(q)) if q.count() <= 100_000 else d.crossJoin(q)
+    if not exact.fits(q.count(), DIM):
+        return rounded(exact.grid(q, d, "l2sq", DIM), "distance")
+    both = d.crossJoin(F.broadcast(q))
     return rounded(both.select("qid", "id", metrics.l2sq_by_norms(F.col("qn"), F.col("n"), metrics.dot(F.col("q"), F.col("vec"), DIM)).alias("distance")), "distance")
 
 
@@ -103,8 +106,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     # 16-byte descriptors of any content: the digest of the id
     d = data(spark, sf_dir).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("vec"))
-    q = asks(d)
-    return d.crossJoin(F.broadcast(q) if q.count() <= 100_000 else q).select("qid", "id", binary.dist_hamming(F.col("q"), F.col("vec"), 16).alias("distance"))
+    both = exact.materialised(d, "vec").join(exact.smaller_broadcast(asks(d), 2))
+    return both.select("qid", "id", binary.dist_hamming(F.col("q"), F.col("vec"), 16).alias("distance"))
 
 
 @query("sign_words", f"WITH {_BASE} SELECT id, w0, w1 FROM we")
@@ -174,10 +177,53 @@ def _(spark, sf_dir):
     return exact.nested(exact.knn_join(asks(w), w, K, "hamming", dim=WORDS)).select("qid", F.to_json("neighbours").alias("neighbours"))
 
 
-@query("knn_l2_pruned", f"{_knn_sql('l2', K, with_=', e2 AS (SELECT id, v[1:2] AS v FROM e), q2 AS (SELECT qid, q[1:2] AS q FROM q)', data='e2').replace('FROM q JOIN', 'FROM q2 JOIN')} SELECT {_out('l2')} FROM knn")
+#: Pruning pays in few dimensions: these queries search the first components.
+LOW = 4
+
+
+def _pruned_sql(metric: str, where: str = "true") -> str:
+    few = f", e2 AS (SELECT id, v[1:{LOW}] AS v FROM e), q2 AS (SELECT qid, q[1:{LOW}] AS q FROM q)"
+    return f"{_knn_sql(metric, K, where, with_=few, data='e2').replace('FROM q JOIN', 'FROM q2 JOIN')} SELECT {_out(metric)} FROM knn"
+
+
+def low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data(spark, sf_dir).select("id", F.slice("vec", 1, LOW).alias("vec"))
+
+
+def _pruned(metric: str):
+    @query(f"knn_{metric}_pruned", _pruned_sql(metric))
+    def run(spark, sf_dir):
+        d = low(spark, sf_dir)
+        return rounded(pivots.PivotIndex(metric, 16).fit(d).search(asks(d), K), "distance")
+
+
+for _m in ("l2", "l1", "linf"):
+    _pruned(_m)
+
+
+@query("knn_pruned_self_excluded", _pruned_sql("l2", "qid <> id"))
+def _(spark, sf_dir):
+    d = low(spark, sf_dir)
+    return rounded(pivots.PivotIndex("l2", 16).fit(d).search(asks(d), K, exclude_self=True), "distance")
+
+
+@query("knn_l2_pruned_whole", f"{_knn_sql('l2')} SELECT {_out('l2')} FROM knn")
+def _(spark, sf_dir):
+    d = data(spark, sf_dir).select("id", "vec")  # all components: few cells are ruled out, results are exact in any case
+    return rounded(pivots.PivotIndex("l2", 8).fit(d).search(asks(d), K), "distance")
+
+
+@query("pivot_save_load", _pruned_sql("l1"))
+def _(spark, sf_dir):
+    d, path = low(spark, sf_dir), fresh_path(spark, "pivot-index")
+    pivots.PivotIndex("l1", 16).fit(d).save(path)
+    return rounded(pivots.PivotIndex.load(spark, path).search(asks(d), K), "distance")
+
+
+@query("knn_l2_grid", ORACLE_SQL["knn_l2"])
 def _(spark, sf_dir):
-    d = data(spark, sf_dir).select("id", F.slice("vec", 1, 2).alias("vec"))
-    return rounded(pivots.PivotIndex("l2", 16).fit(d).search(asks(d), K), "distance")
+    d = data(spark, sf_dir)
+    return rounded(exact.knn_join(asks(d), d, K, "l2", dim=DIM, plan="grid"), "distance")
 
 
 @query("knn_hamming_pruned", ORACLE_SQL["knn_hamming"])
@@ -213,7 +259,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     w = words(data(spark, sf_dir))
     index = range_search.RangeIndex(WORDS).set(w).append(w)
-    return index.values().agg(F.count("*").alias("n"), (F.count("*") == 0).alias("empty"))
+    return spark.createDataFrame([(index.size(), index.empty())], "n long, empty boolean")
 
 
 @query("range_values", f"WITH {_BASE} SELECT w0, w1, count(*) AS n FROM we GROUP BY w0, w1")
@@ -228,6 +274,13 @@ def _(spark, sf_dir):
     return range_search.RangeIndex(WORDS).set(w).append(w).find_threshold(asks(w), 4).select("qid", "id", "distance")
 
 
+@query("range_save_load", f"{_RANGE_SQL} SELECT qid, id, distance FROM hit")
+def _(spark, sf_dir):
+    w, path = words(data(spark, sf_dir)), fresh_path(spark, "range-index")
+    range_search.RangeIndex(WORDS).set(w).save(path)
+    return range_search.RangeIndex.load(spark, path).find_threshold(asks(w), T, pivots=True).select("qid", "id", "distance")
+
+
 # ---------------------------------------------------------------- clustering
 CELLS = 8
 _CELL_SQL = f", c AS (SELECT id::INT AS cell, v AS c FROM e WHERE id < {CELLS}), a AS (SELECT id, v, arg_min(cell, {{'d': list_sum(list_transform(list_zip(c, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'cell': cell}}) AS cell FROM e, c GROUP BY id, v)"
@@ -249,14 +302,30 @@ _ROUND_SQL = f"{_CELL_SQL}, m AS (SELECT cell, i, avg(v[i]) AS x FROM a, range(1
 @query("kmeans_one_round", f"WITH {_BASE}{_ROUND_SQL} SELECT cell, i::INT - 1 AS dimension, round(x, 6) AS value FROM m")
 def _(spark, sf_dir):
     d = data(spark, sf_dir)
-    built = kmeans.kmeans(d, CELLS, max_iter=1, dim=DIM)
+    built = kmeans.kmeans(d, CELLS, max_iter=1, dim=DIM, seeds="first")
     return rounded(built.centroid_rows().select("cell", F.posexplode("centroid").alias("dimension", "value")), "value")
 
 
-@query("kmeans_fit", f"WITH {_BASE} SELECT id FROM e")
+ROUNDS = 3
+_NEAREST = "arg_min(cell, {'d': list_sum(list_transform(list_zip(c, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'cell': cell})"
+
+
+def _rounds_sql(n: int) -> str:
+    """``c0`` to ``cn``: centroids of each round; ``an``: every row's cell in the end."""
+    out = f", c0 AS (SELECT id::INT AS cell, v AS c FROM e WHERE id < {CELLS})"
+    for r in range(n):
+        out += f", a{r} AS (SELECT id, v, {_NEAREST} AS cell FROM e, c{r} GROUP BY id, v)"
+        out += f", c{r + 1} AS (SELECT cell, list(x ORDER BY i) AS c FROM (SELECT cell, i, avg(v[i]) AS x FROM a{r}, range(1, {DIM + 1}) t(i) GROUP BY cell, i) GROUP BY cell)"
+    return out + f", a{n} AS (SELECT id, v, {_NEAREST} AS cell FROM e, c{n} GROUP BY id, v)"
+
+
+@query("kmeans_fit", f"WITH {_BASE}{_rounds_sql(ROUNDS)} SELECT id, a{ROUNDS}.cell, round(c[1], 6) AS first, round(list_sum(list_transform(c, lambda x: x * x)), 6) AS norm2 FROM a{ROUNDS} JOIN c{ROUNDS} USING (cell)")
 def _(spark, sf_dir):
-    d = data(spark, sf_dir)  # every row gets a cell; the cells themselves are tested against numpy
-    return kmeans.kmeans(d, CELLS, max_iter=10, dim=DIM).labels.where(F.col("cell").between(0, CELLS - 1)).select("id")
+    # whole rounds from fixed seeds: every row's cell, and its centroid's first component and squared norm
+    built = kmeans.kmeans(data(spark, sf_dir), CELLS, max_iter=ROUNDS, dim=DIM, seeds="first")
+    norm2 = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x)
+    cells = built.centroid_rows().select("cell", F.round(F.col("centroid")[0], 6).alias("first"), F.round(norm2, 6).alias("norm2"))
+    return built.labels.join(F.broadcast(cells), "cell").select("id", "cell", "first", "norm2")  # CELLS rows
 
 
 _BCELL_SQL = f", c AS (SELECT id::INT AS cell, w0 AS c0, w1 AS c1 FROM we WHERE id < {CELLS}), a AS (SELECT id, w0, w1, arg_min(cell, {{'d': bit_count(xor(c0, w0)) + bit_count(xor(c1, w1)), 'cell': cell}}) AS cell FROM we, c GROUP BY id, w0, w1)"
@@ -270,22 +339,24 @@ _MAJOR = lambda w: f"sum(b{w})::BIGINT"
 )
 def _(spark, sf_dir):
     w = words(data(spark, sf_dir))
-    labels = kmeans.assign(w, _first(w), "hamming")
-    return kmeans.binary_majority(w, labels, WORDS).select("cell", F.col("centroid")[0].alias("w0"), F.col("centroid")[1].alias("w1"))
+    return kmeans.binary_majority(w, _first(w), WORDS).select("cell", F.col("centroid")[0].alias("w0"), F.col("centroid")[1].alias("w1"))
 
 
 # ------------------------------------------------------------- inverted files
+#: Cells that the approximate queries probe: the fewest with a mean recall of 0.9 or more at 10
+#: neighbours on the tables here (tests hold them to it).
+PROBES = 7
 _PROBE = "list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
 @query(
     "ivf_probe",
-    f"WITH {_BASE}{_CELL_SQL}, p AS (SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY {_PROBE}, cell) AS r FROM q, c QUALIFY r <= 3), "
+    f"WITH {_BASE}{_CELL_SQL}, p AS (SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY {_PROBE}, cell) AS r FROM q, c QUALIFY r <= {PROBES}), "
     f"pairs AS (SELECT qid, id, {_DIST['l2sq']} AS d FROM p JOIN a USING (cell)) SELECT qid, id, round(d, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM pairs QUALIFY rank <= {K}",
 )
 def _(spark, sf_dir):
     d = data(spark, sf_dir)
-    return rounded(IVFIndex(CELLS, 3).fit(d, centroids=_first(d)).search(asks(d), K), "distance")
+    return rounded(IVFIndex(CELLS, PROBES).fit(d, centroids=_first(d)).search(asks(d), K), "distance")
 
 
 @query("ivf_full_probe", f"{_knn_sql('l2sq')} SELECT {_out('l2sq')} FROM knn")
@@ -302,12 +373,12 @@ def _(spark, sf_dir):
 
 @query(
     "ivf_binary_probe",
-    f"WITH {_BASE}{_BCELL_SQL}, p AS (SELECT qid, q0, q1, cell, row_number() OVER (PARTITION BY qid ORDER BY bit_count(xor(q0, c0)) + bit_count(xor(q1, c1)), cell) AS r FROM wq, c QUALIFY r <= 3), "
+    f"WITH {_BASE}{_BCELL_SQL}, p AS (SELECT qid, q0, q1, cell, row_number() OVER (PARTITION BY qid ORDER BY bit_count(xor(q0, c0)) + bit_count(xor(q1, c1)), cell) AS r FROM wq, c QUALIFY r <= {PROBES}), "
     f"pairs AS (SELECT qid, id, {_HAM} AS d FROM p JOIN a USING (cell)) SELECT qid, id, d AS distance, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM pairs QUALIFY rank <= {K}",
 )
 def _(spark, sf_dir):
     w = words(data(spark, sf_dir)).select("id", "vec")
-    return IVFIndex(CELLS, 3, "hamming").fit(w, centroids=_first(w)).search(asks(w), K)
+    return IVFIndex(CELLS, PROBES, "hamming").fit(w, centroids=_first(w)).search(asks(w), K)
 
 
 @query("ivf_binary_full_probe", ORACLE_SQL["knn_hamming"])
@@ -459,7 +530,7 @@ _HITS = f"truth AS ({ORACLE_SQL['knn_l2']}), approx AS ({_APPROX}), h AS (SELECT
 
 def _truth_and_approx(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     d = data(spark, sf_dir)
-    return exact.knn_join(asks(d), d, K, "l2", dim=DIM), IVFIndex(CELLS, 3).fit(d, centroids=_first(d)).search(asks(d), K)
+    return exact.knn_join(asks(d), d, K, "l2", dim=DIM), IVFIndex(CELLS, PROBES).fit(d, centroids=_first(d)).search(asks(d), K)
 
 
 @query("recall_at_k", f"WITH {_HITS} SELECT round(avg(hits / wanted), 6) AS recall FROM h")
@@ -488,19 +559,40 @@ def _(spark, sf_dir):
 
 @query("save_load_roundtrip", f"{_knn_sql('l2sq')} SELECT {_out('l2sq')} FROM knn")
 def _(spark, sf_dir):
-    import tempfile
-    import uuid
+    d, path = data(spark, sf_dir), fresh_path(spark, "ivf-index")
+    IVFIndex(CELLS, CELLS).fit(d, centroids=_first(d)).save(path)
+    return rounded(IVFIndex.load(spark, path).search(asks(d), K), "distance")
 
-    d = data(spark, sf_dir)
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vicinage-")
-    path = f"{where.rstrip('/')}/ivf-{uuid.uuid4().hex}"
-    storage.save_ivf(IVFIndex(CELLS, CELLS).fit(d, centroids=_first(d)), path)
-    return rounded(storage.load_ivf(spark, path).search(asks(d), K), "distance")
+
+@query("mih_save_load", ORACLE_SQL["mih_knn"])
+def _(spark, sf_dir):
+    w, path = words(data(spark, sf_dir)), fresh_path(spark, "mih-index")
+    MIHIndex(PARTS).fit(w, WORDS).save(path)
+    return MIHIndex.load(spark, path).search(_near_copies(w), 5, RADIUS)
+
+
+GENERATED, GENERATED_DIM, CLUSTERS = 2_000, 4, 50
+_NAME = lambda *parts: " || '/' || ".join(f"({p})::VARCHAR" for p in parts)
+_HEX = lambda digest, at, n: f"('0x' || substr({digest}, {at}, {n}))::BIGINT"
+_UNIT = lambda *parts: f"({_HEX(f'md5({_NAME(*parts)})', 1, 8)} / 4294967296.0::DOUBLE)"
+_CLUSTER = f"id % {CLUSTERS}"
+_CENTRE, _WIDTH = _UNIT("42", "'centre'", _CLUSTER, "d"), f"(1 + 9 * {_UNIT('42', chr(39) + 'width' + chr(39), _CLUSTER, 'd')})"
+_NOISE = f"((list_sum([{_HEX('sha256(' + _NAME('42', 'id', 'd') + ')', '4 * j + 1', 4)} FOR j IN range(16)])::BIGINT / 65536.0::DOUBLE - 8 * 65535 / 65536.0::DOUBLE) * sqrt(0.75::DOUBLE))"
+_GENERATED = f"SELECT id, ({_CLUSTER})::INT AS cell, d AS dimension, {{value}} AS value FROM range({GENERATED}) r(id), range({GENERATED_DIM}) s(d)"
+
+
+def _components(df: DataFrame) -> DataFrame:
+    return df.select("id", "cell", F.posexplode("vec").alias("dimension", "value")).withColumn("dimension", F.col("dimension").cast("long"))
+
+
+@query("gaussian_clusters", _GENERATED.format(value=f"round((({_CENTRE} * 2 - 1) * 10000 + {_NOISE} * {_WIDTH})::FLOAT::DOUBLE, 2)"))
+def _(spark, sf_dir):
+    return _components(datagen.gaussian_clusters(spark, GENERATED, GENERATED_DIM, CLUSTERS)).withColumn("value", F.round(F.col("value").cast("double"), 2))
 
 
-@query("gaussian_clusters")
+@query("gaussian_bytes", _GENERATED.format(value=f"(floor({_CENTRE} * 255 + {_NOISE})::INT % 256 + 256) % 256"))
 def _(spark, sf_dir):
-    return datagen.gaussian_clusters(spark, 10_000, 8, 50)
+    return _components(datagen.gaussian_clusters(spark, GENERATED, GENERATED_DIM, CLUSTERS, kind="uint8"))
 
 
 @query("near_copy_words", f"WITH {_BASE}{_NEAR_Q} SELECT qid, q0, q1 FROM nq")

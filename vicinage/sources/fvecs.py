@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files whose first ids are broadcast; beyond it they are joined by shuffle.
+BROADCAST_FILES = 100_000
+
 
 def parse(content: bytes) -> np.ndarray:
     if not content:
@@ -39,7 +42,8 @@ def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ids(vectors: DataFrame) -> DataFrame:
-    """``id, vec``: ids count on from file to file in the order of their names."""
+    """``id, vec``: ids count on from file to file in the order of their names.  One
+    row a file reaches the driver; they are broadcast up to ``BROADCAST_FILES``."""
     counts = vectors.groupBy("file").agg(F.count("*").alias("n"))
     starts = {}
     total = 0
@@ -47,4 +51,5 @@ def with_ids(vectors: DataFrame) -> DataFrame:
         starts[r["file"]] = total
         total += r["n"]
     offsets = vectors.sparkSession.createDataFrame(list(starts.items()) or [("", 0)], "file string, start long")
-    return vectors.join(F.broadcast(offsets), "file").select((F.col("start") + F.col("position")).alias("id"), "vec")
+    offsets = F.broadcast(offsets) if len(starts) <= BROADCAST_FILES else offsets
+    return vectors.join(offsets, "file").select((F.col("start") + F.col("position")).alias("id"), "vec")
