@@ -1,60 +1,27 @@
-"""Shared storage and column helpers of the training-data operators."""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from vicinage.sources.staging import Staged, fresh_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session.  Only where that is unset (tests, a notebook) a folder of this
-    machine is made and set as the checkpoint folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vicinage-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+__all__ = ["PIECE_BYTES", "Staged", "fresh_path", "pieces"]
 
+#: Bytes of text that a Python worker turns into objects at once.
+PIECE_BYTES = 2 << 20
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/vicinage-{label}-{uuid.uuid4().hex}"
-    atexit.register(drop_path, spark, path)
-    return path
 
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` through Hadoop's file system, whatever store holds it."""
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        return
-
-
-class Staged:
-    """A written table in the shared folder: cuts lineage, and survives lost
-    executors because no executor's own disk holds it."""
-
-    def __init__(self, df: DataFrame, label: str):
-        self._spark = df.sparkSession
-        self.path = fresh_path(self._spark, label)
-        df.write.parquet(self.path)
-        self.df = self._spark.read.parquet(self.path)
-
-    def drop(self) -> None:
-        drop_path(self._spark, self.path)
-
-
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def pieces(rows: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with at most ``most`` bytes of the text column
+    each, or a single row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < rows.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield rows.slice(at, stop - at)
+        at = stop
