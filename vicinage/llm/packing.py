@@ -16,6 +16,7 @@ miss a full window.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,17 +29,20 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 #: Tails that wait before sequences are filled, and that stay for later choice.
 POOL_HIGH, POOL_LOW = 2048, 1024
-#: Distinct text pieces whose ids a Python worker remembers.
-CACHE_PIECES = 600_000
+#: Bytes of the text pieces whose ids a Python worker remembers within a partition (with
+#: what an entry takes besides its text), code points of the longest one, and bytes of
+#: ids that a batch of results holds.
+CACHE_BYTES, CACHE_ENTRY, CACHE_CHARS, BATCH_BYTES = 24 << 20, 200, 48, 2 << 20
 
 
 class PieceIds(dict):
     """Text piece -> its ids as little-endian unsigned 32-bit bytes.
 
-    A piece is what stands between two single spaces, with the leading space.
-    The byte-level pattern always starts a new pre-token at a single space, so
-    the ids of a text are the ids of its pieces one after another.  Words repeat,
-    so most pieces are looked up and not merged again.
+    Added tokens of the vocabulary file (``<|endoftext|>``) are cut out first and
+    have ids of their own, as in ``tokenizers``.  A piece is what stands between two
+    single spaces, with the leading space.  The byte-level pattern always starts a
+    new pre-token at a single space, so the ids of a text are the ids of its pieces
+    one after another.  Words repeat, so most pieces are looked up and not merged again.
     """
 
     def __init__(self, vocabulary: str):
@@ -47,22 +51,39 @@ class PieceIds(dict):
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {c: b for b, c in _byte_letters().items()}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         # the merge engine; ids and merge order are those of the vocabulary file
         self._encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._added = {token: _pack_ids([i]) for token, i in added.items()}
+        self._cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True))) if added else None
+        self._held = 0
+
+    def clear(self) -> None:
+        self._held = 0
+        super().clear()
 
     def direct(self, text: str) -> bytes:
         return _pack_ids(self._encode(text))
 
     def __missing__(self, piece: str) -> bytes:
         ids = _pack_ids(self._encode(" " + piece))
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= CACHE_CHARS:
+            self._held += CACHE_ENTRY + 2 * len(piece) + len(ids)
+            if self._held > CACHE_BYTES:
+                self.clear()
+            self[piece] = ids
         return ids
 
     def text(self, text: str) -> bytes:
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        parts = [x for x in self._cut.split(text) if x]
+        return b"".join([self._added[x] if x in self._added else self._plain(x) for x in parts])
+
+    def _plain(self, text: str) -> bytes:
         if "  " in text:  # a run of spaces is split by its length, not piece by piece
             return self.direct(text)
         first, *rest = text.split(" ")
@@ -188,7 +209,9 @@ def pack(
 
     Null text counts as empty: such a document is the end id alone.  Every row
     is packed, repeated ids and texts too (each row's ids lie in pieces of its
-    own).  An empty table gives no rows.  Other columns of ``docs`` are ignored.
+    own).  Added tokens that stand in a text get their own ids.  A very long text
+    is cut into whole windows and one tail.  An empty table gives no rows.  Other
+    columns of ``docs`` are ignored.
     ``sequence_id`` is unique in the result: input partition, then a counter.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -210,17 +233,29 @@ def pack(
             names = [x.split()[0] for x in schema.split(", ")]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for rows in batches:
-            id_type = rows.schema.field(0).type
-            done = []
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                done += packer.put(doc_id, known.text(text.as_py()) + end)
-                if len(done) >= 8192:
-                    yield batch(done)
-                    done = []
+        def batches_of(found: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+            done, held = [], 0
+            for some in found:
+                for piece in some:
+                    done.append(piece)
+                    held += len(piece[2]) + 100
+                    if held >= BATCH_BYTES:
+                        yield batch(done)
+                        done, held = [], 0
             if done:
                 yield batch(done)
-        if done := packer.close():
-            yield batch(done)
+
+        def packed() -> Iterator[list[tuple]]:
+            nonlocal id_type
+            for rows in batches:
+                id_type = rows.schema.field(0).type
+                for doc_id, text in zip(rows.column(0), rows.column(1), strict=True):
+                    yield packer.put(doc_id.as_py(), known.text(text.as_py()) + end)
+            yield packer.close()
+
+        try:
+            yield from batches_of(packed())
+        finally:
+            known.clear()  # the worker may serve other stages after this partition
 
     return source.mapInArrow(run, schema)
