@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinage.llm.common import pieces
+
 ROUNDS = 8
 #: First and number of days that dates are permuted within.
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -96,8 +98,11 @@ def ip(f: Feistel, text: str) -> str | None:
     octets = text.split(".")
     if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets) or octets[0] in ("0", "127"):
         return None
-    number = f.permute(int.from_bytes(bytes(map(int, octets)), "big"), 1 << 32, "ip")
-    return ".".join(str(b) for b in number.to_bytes(4, "big"))
+    first = int(octets[0])
+    place = first - 1 - (first > 127)  # of the 254 first octets that are valid
+    rest = int.from_bytes(bytes(map(int, octets[1:])), "big")
+    place, rest = divmod(f.permute(place << 24 | rest, 254 << 24, "ip"), 1 << 24)
+    return ".".join(str(b) for b in (place + 1 + (place >= 126), *rest.to_bytes(3, "big")))
 
 
 def ssn(f: Feistel, text: str) -> str | None:
@@ -149,10 +154,6 @@ def email(f: Feistel, text: str) -> str | None:
     return f"{_mixed(f, local, 'mail/' + host.lower())}@{host}"
 
 
-#: Order of year, month and day in a date of digits, tried from left to right.
-DATE_ORDERS = ("ymd", "dmy", "mdy")
-
-
 def date(f: Feistel, text: str) -> str | None:
     a, sep, b, sep2, c = re.split(r"(\D)", text)
     if sep != sep2:
@@ -176,7 +177,7 @@ def date(f: Feistel, text: str) -> str | None:
 #: Kind -> pattern and pseudonym; the first that fits and validates wins.
 _EDGE, _END = r"(?<![\w.+\-])", r"(?![\w\-]|\.\d)"
 KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
-    "email": (r"(?<![\w.+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w\-])", email),
+    "email": (r"(?<![\w.+%\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w\-])", email),
     "iban": (_EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END, iban),
     "ip": (_EDGE + r"\d{1,3}(?:\.\d{1,3}){3}" + _END, ip),
     "date": (_EDGE + r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})" + _END, date),
@@ -284,7 +285,8 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, *, id_col: str = "doc_id
     the number of replaced values and their kinds (sorted, comma-joined, '' if none).
 
     Null text stays null and empty text empty, both with nothing found.  Texts
-    without personal data are returned unchanged.  Repeated rows give repeated
+    without personal data are returned unchanged.  Very long texts take time in
+    proportion to their length.  Repeated rows give repeated
     results; an empty table gives no rows; other columns are ignored.  One narrow
     pass; rows are independent, so no value needs to be looked up elsewhere.
     """
@@ -294,8 +296,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, *, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
         for rows in batches:
-            for at in range(0, rows.num_rows, 1024):
-                some = rows.slice(at, 1024)
+            for some in pieces(rows, 1):
                 done = [(None, {}) if x is None else pseudonymise(x, f) for x in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([sum(n.values()) for _, n in done], pa.int64()), pa.array([",".join(sorted(n)) for _, n in done], pa.string())],
@@ -307,16 +308,18 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, *, id_col: str = "doc_id
 
 def with_pseudonyms(docs: DataFrame, key: bytes, *, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows with all their columns, the text with pseudonyms and, where there
-    is such a column, its number of code points in ``chars_col``."""
+    is such a column, its number of code points in ``chars_col``.  Null text stays
+    null; an empty table gives no rows, with the same columns."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
         for rows in batches:
-            texts = [None if x is None else pseudonymise(x, f)[0] for x in rows.column(at).to_pylist()]
-            columns = list(rows.columns)
-            columns[at] = pa.array(texts, rows.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+            for some in pieces(rows, at):
+                texts = [None if x is None else pseudonymise(x, f)[0] for x in some.column(at).to_pylist()]
+                columns = list(some.columns)
+                columns[at] = pa.array(texts, rows.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
