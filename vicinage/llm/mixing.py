@@ -8,14 +8,16 @@ blocks: a source's whole passes are fixed first, and the highest quotients
 the shards of each source.  A shard lays its documents end to end in a seeded
 order and takes its quota of blocks as one run from a seeded start.
 
-Only one row per source and per shard reaches the driver.  A source is split
-into as many shards as its size asks for, at most ``MAX_SHARDS`` in all plus one
-a source, so a source with a third of all rows is spread over as many tasks.
+Only one row per source and per shard reaches the driver.  A source is split into
+as many shards as its size asks for, so one with a third of all rows is spread over
+many tasks.  Shards and their size both grow with the square root of all words: a
+million shards of 15 million words stand for 100 TB of text.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import Staged
+from vicinage.llm.common import Staged, pieces
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
-#: Tokens of a block, blocks of the smallest shard, and shards in all (besides one a source).
-BLOCK, SHARD_BLOCKS, MAX_SHARDS = 64, 64, 4096
+#: Tokens of a block at most, blocks that the smallest remaining target holds at least.
+BLOCK, LEAST_BLOCKS = 64, 16
+#: Words of a shard: this, or so many times the square root of all words, whatever is more.
+SHARD_WORDS, SHARD_ROOTS = 4096, 4
 SEED = 20_24
 
 
@@ -104,11 +108,14 @@ def mix(
 
     Sources are ordered by code point with null last and weigh ``weights`` over
     and over.  Null text has size 0 and takes nothing.  Repeated rows are rows
-    of their own.  The draw depends on ids, sizes and the seed alone, so reruns
-    agree.  An empty table gives no rows.  Other columns of ``docs`` are ignored.
+    of their own.  The draw depends on ids, texts and the seed alone, so reruns
+    agree; rows with one id (or a null id) and different texts are spread like
+    others, equal rows follow one another.  Very long texts are taken in part like
+    others.  An empty table gives no rows.  Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    digest = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
+    place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("place")
+    digest = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place]
     staged = Staged(docs.select(*digest), "mix").df
     totals = sorted(((r["source"], r["size"]) for r in staged.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes = [s for _, s in totals]
@@ -117,10 +124,11 @@ def mix(
     # whole passes first; blocks are dealt for what is left of each target
     passes = [min(max_repeats, int(t // s)) if s else 0 for t, s in zip(targets, sizes, strict=True)]
     rest = [max(0.0, t - p * s) for t, p, s in zip(targets, passes, sizes, strict=True)]
-    blocks = [-(-s // BLOCK) for s in sizes]
-    quotas = sainte_lague(rest, round(sum(rest) / BLOCK), [b if r else 0 for b, r in zip(blocks, rest, strict=True)])
-    per_shard = max(SHARD_BLOCKS, -(-sum(blocks) // MAX_SHARDS))
-    shards = [max(1, -(-b // per_shard)) for b in blocks]
+    unit = max(1, min(BLOCK, int(min((r for r in rest if r >= 1), default=BLOCK) / LEAST_BLOCKS)))
+    blocks = [-(-s // unit) for s in sizes]
+    quotas = sainte_lague(rest, round(sum(rest) / unit), [b if r else 0 for b, r in zip(blocks, rest, strict=True)])
+    per_shard = max(SHARD_WORDS, SHARD_ROOTS * math.isqrt(sum(sizes)))
+    shards = [max(1, -(-s // per_shard)) for s in sizes]
 
     plan = _looked_up(
         spark,
@@ -129,16 +137,16 @@ def mix(
     )
 
     def deal(rows: DataFrame) -> DataFrame:
-        shard = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int")
+        shard = F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("shards")).cast("int")
         return rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left").withColumn("shard", shard).drop("p_source", "shards")
 
     by_source: dict = {}
-    for r in deal(staged).groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():  # at most MAX_SHARDS and one a source
+    for r in deal(staged).groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():  # one row a shard
         by_source.setdefault(r["source"], []).append((r["shard"], r["size"]))
     runs = []
     for (name, _), quota, left in zip(totals, quotas, rest, strict=True):
         parts = sorted(by_source.get(name, []))
-        held = [-(-s // BLOCK) for _, s in parts]
+        held = [-(-s // unit) for _, s in parts]
         won = sainte_lague([float(s) for _, s in parts], quota, held)
         taken = [s * w / b if b else 0.0 for (_, s), w, b in zip(parts, won, held, strict=True)]  # blocks of a shard are equal
         scale = left / sum(taken) if sum(taken) else 0.0  # evens out what whole blocks leave or exceed
@@ -146,7 +154,7 @@ def mix(
     quota_rows = _looked_up(spark, runs, "q_source string, q_shard int, shard_size long, run long")
 
     dealt = deal(docs.select(*digest, F.struct("*").alias("row")) if keep else staged)
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = (
         dealt.join(quota_rows, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "left")
         .withColumn("b", F.sum("size").over(order))
@@ -197,24 +205,27 @@ _WORDS = re.compile(SPACE_WORD)
 
 def expand(mixed: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Rows of :func:`mix` with ``keep`` turned into the documents that the mix
-    takes: the input row once for each pass, and once more with the extra words."""
+    takes: the input row once for each pass, and once more with the extra words.
+    Rows that it takes nothing of (null and empty texts too) are left out; an empty
+    table gives no rows, with the same columns."""
     schema = mixed.schema["row"].dataType
     columns = schema.names
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            passes, starts, extras = (rows.column(k).to_pylist() for k in range(3))
-            take, parts = [], {}
-            for k, (n, start, extra) in enumerate(zip(passes, starts, extras, strict=True)):
-                take += [k] * n
-                if extra:
-                    parts[len(take)] = cut_words(rows.column(3 + at)[k].as_py(), start, extra)
-                    take.append(k)
-            taken = [c.take(pa.array(take, pa.int64())) for c in rows.columns[3:]]
-            if parts:
-                taken[at] = pa.array([parts.get(k, t) for k, t in enumerate(taken[at].to_pylist())], taken[at].type)
-            yield pa.RecordBatch.from_arrays(taken, names=columns)
+        for batch in batches:
+            for rows in pieces(batch, 3 + at):
+                passes, starts, extras = (rows.column(k).to_pylist() for k in range(3))
+                take, parts = [], {}
+                for k, (n, start, extra) in enumerate(zip(passes, starts, extras, strict=True)):
+                    take += [k] * n
+                    if extra:
+                        parts[len(take)] = cut_words(rows.column(3 + at)[k].as_py(), start, extra)
+                        take.append(k)
+                taken = [c.take(pa.array(take, pa.int64())) for c in rows.columns[3:]]
+                if parts:
+                    taken[at] = pa.array([parts.get(k, t) for k, t in enumerate(taken[at].to_pylist())], taken[at].type)
+                yield pa.RecordBatch.from_arrays(taken, names=columns)
 
     flat = mixed.select(F.col("passes").alias("__passes"), F.col("extra_from").alias("__from"), F.col("extra").alias("__extra"), *[F.col("row")[c].alias(c) for c in columns])
     out = flat.mapInArrow(run, schema)
