@@ -13,23 +13,25 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.llm.common import Staged
 from vicinage.llm.shingles import mixed
 
 #: Code points of a k-mer and of its s-mers.
 K, S = 11, 4
 #: Rows, and hex digits of fingerprints, that are put out at once.
 BATCH_ROWS, BATCH_CHARS = 256, 1 << 22
-#: Code points that are hashed at once; characters of a range of neighbouring documents, and ranges at most.
-CHUNK, RANGE_CHARS, MAX_RANGES = 1 << 17, 1_000_000, 4096
+#: Code points that are hashed at once.
+CHUNK = 1 << 17
+#: Characters of a range of neighbouring documents: this, or so many times the square root of all, whatever is more.
+RANGE_CHARS, RANGE_ROOTS = 1_000_000, 10
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,18 +114,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A constant array, as one node of the plan however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _range_number(source: DataFrame, ranges: int) -> tuple[Column, int]:
+    """Number of the range that an id lies in, from 0, and how many there are.
+
+    Bounds are quantiles of the ids in two levels, each about the square root of the
+    ranges: one list of quantiles of all ids, and one of each part between them.  An
+    id is compared with two such lists instead of with every bound."""
+    kind = source.schema["doc_id"].dataType.simpleString()
+    parts = math.isqrt(ranges - 1) + 1
+    each = -(-ranges // parts)
+    quantiles = lambda n: F.percentile_approx("doc_id", F.lit([i / n for i in range(1, n)]), F.lit(max(10_000, 20 * n)))
+    above = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
+    coarse: list = []
+    if parts > 1:
+        coarse = sorted(set(source.agg(quantiles(parts).alias("b")).first()["b"] or []))
+    part = above(F.lit(coarse)) if coarse else F.lit(0)
+    fine: list[list] = [[] for _ in range(len(coarse) + 1)]
+    if each > 1:
+        for r in source.where(F.col("doc_id").isNotNull()).groupBy(part.alias("part")).agg(quantiles(each).alias("b")).collect():  # one row a part
+            fine[r["part"]] = sorted(set(r["b"] or []))
+    starts = np.cumsum([0, *(len(x) + 1 for x in fine)]).tolist()
+    number = _constant(starts, "int")[part] + above(_constant(fine, f"array<{kind}>")[part])
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(number).cast("int"), starts[-1]
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``.
 
     The next document is that of the next larger id, after the last the first (a
-    single document follows itself).  Repeated ids follow one another in the order
-    of their texts; null ids come first.  Null text is empty.  An empty table gives
-    no rows.  Other columns of ``docs`` are ignored.
-
-    Documents are dealt into ranges of ids of about ``RANGE_CHARS`` characters and
-    sorted within; the first id of each range is also sent to the range before,
-    so every document meets its successor without any global order in one task.
+    single document follows itself).  Ids are numbers.  Repeated ids follow one
+    another in the order of their texts; null ids come first.  Null text is empty.
+    Very long texts are hashed in chunks, whole.  An empty table gives no rows.
+    Other columns of ``docs`` are ignored.
+
+    Documents are dealt into ranges of ids and sorted within; the first id of each
+    range is also sent to the range before, so every document meets its successor
+    without any global order in one task.  Ranges and their size both grow with the
+    square root of all characters: a million ranges of 100 MB stand for 100 TB.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -131,23 +164,17 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sizes = source.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     if not sizes["n"]:
         return spark.createDataFrame([], f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    ranges = max(1, min(MAX_RANGES, math.ceil(sizes["chars"] / RANGE_CHARS)))
-    # bounds by quantiles of the ids (one number a range), then the ids that really stand first
-    bounds: list = []
-    if ranges > 1:
-        steps = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(source.agg(F.percentile_approx("doc_id", F.lit(steps), F.lit(max(10_000, 20 * ranges)))).first()[0] or []))
-    number = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    placed = source.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(number))
-    firsts = {r["range"]: None if r["has_null"] else r["least"] for r in placed.groupBy("range").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null")).collect()}
+    per_range = max(RANGE_CHARS, RANGE_ROOTS * math.isqrt(sizes["chars"]))
+    number, ranges = _range_number(source, max(1, math.ceil(sizes["chars"] / per_range)))
+    placed = source.withColumn("range", number)
+    firsts = {r["range"]: None if r["has_null"] else r["least"] for r in placed.groupBy("range").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null")).collect()}  # one row a range
     used = sorted(firsts)
     previous = dict(zip(used, [used[-1], *used[:-1]], strict=True))  # the first range's start follows the last range
-    every = range(used[-1] + 1)
-    before = F.array(*[F.lit(previous.get(r, 0)) for r in every])[F.col("range")]
-    is_first = F.col("doc_id").eqNullSafe(F.array(*[F.lit(firsts.get(r)).cast(kind) for r in every])[F.col("range")])
+    before = _constant([previous.get(r, 0) for r in range(ranges)], "int")[F.col("range")]
+    is_first = F.col("doc_id").eqNullSafe(_constant([firsts.get(r) for r in range(ranges)], kind)[F.col("range")])
     copies = F.array_compact(F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("guest")), F.when(is_first, F.struct(before.alias("at"), F.lit(True).alias("guest")))))
     dealt = placed.withColumn("copy", F.explode(copies)).select(F.col("copy.at").alias("at"), F.col("copy.guest").alias("guest"), "doc_id", "text")
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(used) / 4))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(used))
     ordered = dealt.repartition(tasks, "at").sortWithinPartitions("at", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +209,3 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield batch()
 
     return ordered.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
