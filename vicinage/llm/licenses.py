@@ -4,7 +4,7 @@ A block is a line of text, long lines cut into overlapping windows; after the
 lines come windows over the words of the whole text, across line breaks, so that
 wrapped passages are whole in one of them.  A block
 matches a template when it holds at least ``containment`` of the template's
-distinct words.  Words are ordered by how many documents hold them, rarest
+distinct words (all of them where they are few).  Words are ordered by how many documents hold them, rarest
 first, and that order gives three exact filters:
 
 * prefix: an overlap of ``need`` words must touch the first ``|T| - need + 1``
@@ -41,9 +41,17 @@ TEMPLATES = {
     "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
+    "Licensed under CC BY 4.0": "cc-by",
+    "Licensed under CC BY-SA 4.0": "cc-by-sa",
+    "Licensed under CC BY-NC 4.0": "cc-by-nc",
+    "Licensed under CC BY-ND 4.0": "cc-by-nd",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+    "Licensed under CC BY-NC-ND 4.0": "cc-by-nc-nd",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl",
 }
-CONTAINMENT = 0.8
+#: Share of a template's distinct words that a block must hold.  Templates of fewer than
+#: ``SHORT`` words must be held whole: most of so few words meet by chance.
+CONTAINMENT, SHORT = 0.8, 10
 #: Words of a block at most; longer lines and whole texts are cut every half of it.
 BLOCK_WORDS = 64
 
@@ -57,6 +65,11 @@ def words_of(text: str) -> list[str]:
     return re.findall(LOWER_WORD, text.translate({c: c + 32 for c in range(65, 91)}))
 
 
+def needed(n_words: int, containment: float = CONTAINMENT) -> int:
+    """Words of a template of ``n_words`` distinct words that a block must hold."""
+    return n_words if n_words < SHORT else math.ceil(containment * n_words)
+
+
 def _phrase(words: list[str]) -> str:
     return f"{GAP}+".join(words)
 
@@ -103,7 +116,7 @@ def scan(
     before_last = F.regexp_extract(text, f"(?s)^(.*){any_base}", 1)
 
     # a document can hold a match only if it holds a word of some template's prefix
-    prefixes = sorted({w for ws, _ in sets for w in sorted(ws, key=rank.get)[: len(ws) - math.ceil(containment * len(ws)) + 1]})
+    prefixes = sorted({w for ws, _ in sets for w in sorted(ws, key=rank.get)[: len(ws) - needed(len(ws), containment) + 1]})
     may_match = F.array_size(F.array_intersect(F.split(F.lower(text), f"{GAP}+"), F.lit(prefixes))) > 0
     matches = F.when(may_match, _matches(text, sets, by_rank, rank, containment)).otherwise(F.array().cast(MATCH))
 
@@ -157,7 +170,7 @@ def _matches(text: Column, sets: list[tuple[list[str], str]], by_rank: list[str]
 
     def against(x: Column) -> Column:
         def one(k: int, words: list[str]) -> Column:
-            ranks, need = sorted(rank[w] for w in words), math.ceil(containment * len(words))
+            ranks, need = sorted(rank[w] for w in words), needed(len(words), containment)
             mine, theirs = F.lit(ranks), x["b"]
             prefix = F.lit(ranks[: len(ranks) - need + 1])
             head = F.slice(theirs, 1, F.greatest(F.size(theirs) - need + 1, F.lit(0)))

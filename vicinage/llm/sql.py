@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from vicinage.llm import licenses
 
 
@@ -24,7 +22,7 @@ def license_sql() -> str:
     cols = ", ".join(f"{h} AS p{k}" for k, h in enumerate(hits))
     places = "flatten([" + ", ".join(f"p{k}" for k in range(len(hits))) + "])"
     sets = [(sorted(set(licenses.words_of(t))), label) for t, label in licenses.TEMPLATES.items()]
-    template_rows = ", ".join(f"({k}, '{label}', {words!r}, {len(words)}, {math.ceil(licenses.CONTAINMENT * len(words))})" for k, (words, label) in enumerate(sets))
+    template_rows = ", ".join(f"({k}, '{label}', {words!r}, {len(words)}, {licenses.needed(len(words))})" for k, (words, label) in enumerate(sets))
     half, full = licenses.BLOCK_WORDS // 2, licenses.BLOCK_WORDS
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
