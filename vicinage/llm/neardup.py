@@ -19,9 +19,11 @@ At the default of 42 bands of 6 rows a pair at a similarity of 0.8 shares no ban
 with a probability of 3e-6, one at 0.85 of 1e-9; the sketch filter keeps five
 standard deviations below the threshold.
 
-Skew: equal texts collapse in a map-side aggregate; the joins on a bucket, a
-centre or a component are plain equi-joins, which adaptive execution splits when
-one key is hot; blocks of a hot bucket are dealt to many tasks.
+Skew: equal texts collapse in a map-side aggregate; the joins on a bucket or a centre
+are plain equi-joins, which adaptive execution splits when one key is hot; new names
+of components are broadcast as long as they are few, and beyond that those of the
+components that many rows have.  Blocks of a hot bucket are dealt to many tasks, and
+of two blocks that lie in the bucket's largest component no pair is looked at.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ ROWS, BANDS, SKETCH_BITS = 6, 42, 1024
 BLOCK = 256
 #: Up to so many ids, the ids whose sets are needed are broadcast (16 MB); beyond, joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of one name that make it hot.
+HOT_ROWS = 1_000_000
 
 _rng = np.random.default_rng(41)
 _A = _rng.integers(1, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -144,6 +148,20 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+def _renamed(rows: DataFrame, key: str, names: DataFrame, n_names: int) -> DataFrame:
+    """``rows`` joined with ``names`` (``key``, one row each), inner.  Few names are
+    broadcast; of more, those that at least ``HOT_ROWS`` rows ask for are, so that
+    no task gets all rows of one name."""
+    if n_names <= BROADCAST_IDS:
+        return rows.join(F.broadcast(names), key)
+    hot = Staged(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= HOT_ROWS).select(key), "hot").df
+    n = hot.count()
+    if not n or n > BROADCAST_IDS:
+        return rows.join(names, key)
+    hot_rows, other_rows = rows.join(F.broadcast(hot), key, "left_semi"), rows.join(F.broadcast(hot), key, "left_anti")
+    return hot_rows.join(F.broadcast(names.join(F.broadcast(hot), key, "left_semi")), key).unionByName(other_rows.join(names, key))
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``v, c``: the smallest vertex that each vertex reaches.
 
@@ -151,19 +169,29 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     that one's; the edges are renamed and those within a name vanish.  Stars, the
     common case, are done after one round, so edges are joined about once.  The
     smallest vertex of a component keeps its name throughout.  Rounds are written
-    tables."""
+    tables, dropped as soon as the next one is written."""
     left = Staged(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    names = vertices.select("v", F.col("v").alias("c"))
+    names = Staged(vertices.select("v", F.col("v").alias("c")), "names")
     while not left.df.isEmpty():
         both = left.df.select("u", "v").union(left.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = Staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("p")), "near").df
-        named = Staged(near.join(near.select(F.col("v").alias("p"), F.col("p").alias("c")), "p").select("v", "c"), "names").df
-        names = names.join(named.select(F.col("v").alias("c"), F.col("c").alias("next")), "c", "left").select("v", F.coalesce("next", "c").alias("c"))
-        renamed = left.df.join(named.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").join(named.select("v", F.col("c").alias("cv")), "v")
+        near = Staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("p")), "near")
+        n = near.df.count()
+        named = Staged(_renamed(near.df, "p", near.df.select(F.col("v").alias("p"), F.col("p").alias("c")), n).select("v", "c"), "names")
+        # names that change; a vertex whose name none of the edges has keeps it
+        moved = named.df.where("v <> c").select(F.col("v").alias("c"), F.col("c").alias("next"))
+        n_moved = moved.count()
+        if n_moved <= BROADCAST_IDS:
+            later = names.df.join(F.broadcast(moved), "c", "left").select("v", F.coalesce("next", "c").alias("c"))
+        else:
+            changed = _renamed(names.df, "c", moved, n_moved).select("v", F.col("next").alias("c"))
+            later = names.df.join(moved.select("c"), "c", "left_anti").select("v", "c").unionByName(changed)
+        after_names = Staged(later, "names")
+        renamed = _renamed(_renamed(left.df, "u", named.df.select(F.col("v").alias("u"), F.col("c").alias("cu")), n), "v", named.df.select("v", F.col("c").alias("cv")), n)
         after = Staged(renamed.where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), "edges")
-        left.drop()
-        left = after
-    return names
+        for done in (left, near, named, names):
+            done.drop()
+        left, names = after, after_names
+    return names.df
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,28 +220,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     centres = buckets.df.where("is_centre").groupBy("bucket").agg(F.min("v").alias("u"))
     pairs = buckets.df.join(centres, "bucket").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     near = _near(pairs, nodes.df, most_odd)
-    links = Staged(_confirmed(near, docs, id_col, text_col, width, percent), "links")
+    links = _confirmed(near, docs, id_col, text_col, width, percent)
     vertices = buckets.df.select("v").distinct()
-    first = Staged(components(vertices, links.df), "components")
+    first = components(vertices, links.df)
+    links.drop()
 
     # buckets that still hold several components: compare their members in blocks
-    labelled = buckets.df.select("bucket", "v", "n").join(first.df, "v")
-    mixed_buckets = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    labelled = buckets.df.select("bucket", "v").join(first, "v")
     sketches = nodes.df.select("v", "sketch")
-    maybe = Staged(_blockwise(labelled.join(mixed_buckets, "bucket").join(sketches, "v"), most_odd, None), "maybe")
-    last = first.df
+    maybe = Staged(_blockwise(labelled, sketches, most_odd, None), "maybe")
+    buckets.drop()
+    last = first
     if not maybe.df.isEmpty():
         # what may be linked lies within one cluster of such pairs; clusters are compared on full sets
         ends = maybe.df.select("u").union(maybe.df.select("v")).distinct().withColumnRenamed("u", "v")
-        clusters = Staged(components(ends, maybe.df).withColumnRenamed("c", "bucket"), "clusters")
-        held = clusters.df.groupBy("bucket").agg(F.count("*").alias("n"))
-        items = _sets_of(clusters.df.select("v"), docs, id_col, text_col, width)
-        members = clusters.df.join(held, "bucket").join(first.df, "v").join(sketches, "v").join(items, "v")
-        more = Staged(_blockwise(members, most_odd, percent), "links")
+        clusters = components(ends, maybe.df).withColumnRenamed("c", "bucket")
+        items = _sets_of(clusters.select("v"), docs, id_col, text_col, width)
+        more = Staged(_blockwise(clusters.join(first, "v"), sketches.join(items.df, "v"), most_odd, percent), "links")
+        items.drop()
         if not more.df.isEmpty():
-            named = more.df.join(first.df.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").join(first.df, "v").select(F.col("cu").alias("u"), F.col("c").alias("v")).distinct()
+            named = more.df.join(first.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").join(first, "v").select(F.col("cu").alias("u"), F.col("c").alias("v")).distinct()
             joined = components(named.select("u").union(named.select("v")).distinct().withColumnRenamed("u", "v"), named)
-            last = first.df.join(joined.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
+            last = first.join(joined.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left").select("v", F.coalesce("cc", "c").alias("c"))
+    maybe.drop()
     of_key = nodes.df.select("key", "v").join(last, "v", "left").select("key", F.coalesce("c", "v").alias("c"))
     return (
         seen.df.select("doc_id", "n_shingles", "key")
@@ -230,41 +259,51 @@ def _near(pairs: DataFrame, nodes: DataFrame, most_odd: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(odd("a", "b") <= most_odd).select("u", "v")
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> Staged:
     """``v, items`` of the vertices in ``wanted`` (``v``, written and distinct)."""
     ids = wanted.withColumnRenamed("v", "__wanted")
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("text")).join(ids, F.col("v") == F.col("__wanted"), "left_semi")
-    return Staged(full_sets(texts, "v", "text", width), "sets").df
+    return Staged(full_sets(texts, "v", "text", width), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> Staged:
     """The pairs that reach the threshold on their full sets, ``u, v``."""
-    kept = Staged(pairs, "pairs").df
-    needed = Staged(kept.select("u").union(kept.select("v")).distinct().withColumnRenamed("u", "v"), "needed").df
-    items = _sets_of(needed, docs, id_col, text_col, width)
-    left, right = items.select(F.col("v").alias("u"), F.col("items").alias("a")), items.select("v", F.col("items").alias("b"))
+    kept = Staged(pairs, "pairs")
+    needed = Staged(kept.df.select("u").union(kept.df.select("v")).distinct().withColumnRenamed("u", "v"), "needed")
+    items = _sets_of(needed.df, docs, id_col, text_col, width)
+    left, right = items.df.select(F.col("v").alias("u"), F.col("items").alias("a")), items.df.select("v", F.col("items").alias("b"))
     common = F.pandas_udf(_common, "long")
-    both = kept.join(right, "v").join(left, "u").select("u", "v", ((F.octet_length("a") + F.octet_length("b")) / 8).cast("long").alias("total"), common("a", "b").alias("common"))
-    return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("u", "v").distinct()
+    both = kept.df.join(right, "v").join(left, "u").select("u", "v", ((F.octet_length("a") + F.octet_length("b")) / 8).cast("long").alias("total"), common("a", "b").alias("common"))
+    links = Staged(both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("u", "v").distinct(), "links")
+    for done in (kept, needed, items):
+        done.drop()
+    return links
 
 
-def _blockwise(members: DataFrame, most_odd: int, percent: int | None) -> DataFrame:
+def _blockwise(members: DataFrame, payload: DataFrame, most_odd: int, percent: int | None) -> DataFrame:
     """Links ``u, v`` that connect what is linked within each bucket and across
     its components: a spanning forest of a block pair's links, at most one row a
     member, never all pairs.
 
-    ``members``: ``bucket, v, n, c, sketch`` and, to confirm links on full sets
-    (``percent`` given), ``items``; else a link is what the sketches do not rule
-    out.  A bucket of ``n`` members makes ``ceil(n / BLOCK)`` blocks, and each
-    pair of blocks is a group of its own."""
+    ``members``: ``bucket, v, c``; buckets of a single component are left out.
+    ``payload``: ``v, sketch`` and, to confirm links on full sets (``percent`` given),
+    ``items``; else a link is what the sketches do not rule out.  The members of a
+    bucket's largest component and the others make blocks of about ``BLOCK`` each, and
+    each pair of blocks is a group of its own, but for pairs of two blocks of the
+    largest component: it is linked already.  So a large group of copies with few
+    others in its bucket costs rows in proportion to its members."""
     kind = members.schema["v"].dataType.simpleString()
+    parts = members.groupBy("bucket", "c").agg(F.count("*").alias("m"))
+    shape = parts.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("n_main"), F.sum("m").alias("n")).where("n > n_main")
     # powers of two and one hash: a member's block is the same in all buckets of a size,
     # so the forests of buckets that share members share links
-    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("n") / BLOCK)))).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    number = lambda n: F.pow(F.lit(2), F.ceil(F.log2(F.ceil(n / BLOCK)))).cast("int")
+    shape = shape.select("bucket", "main", number(F.col("n") - F.col("n_main")).alias("others"), number(F.col("n_main")).alias("mains"))
+    is_main, place = F.col("c") == F.col("main"), F.xxhash64("v")
+    placed = members.join(shape, "bucket").withColumn("mine", F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    dealt = placed.join(payload, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
     dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "c", "sketch", *(["items"] if percent else []))
 
     def links(g: pd.DataFrame) -> pd.DataFrame:
