@@ -26,11 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Payloads below this are never revisited; records of a file; rows of a broadcast table of repeated payloads.
-REVISIT_BYTES, FILE_RECORDS, BROADCAST_ROWS = 1000, 4096, 200_000
+from vicinage.llm.common import Staged, pieces
+
+#: Payloads below this are never revisited; rows of a broadcast table of repeated payloads.
+REVISIT_BYTES, BROADCAST_ROWS = 1000, 200_000
+#: Bytes of compressed records that are handed to the writer as one row (a row ends with the
+#: record that reaches them), and such rows of a file: files hold about 16 MB, or one larger record.
+ROW_BYTES, FILE_ROWS = 2 << 20, 8
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/[01]\.\d+\r?\n")
-STEP = 1 << 16
+#: Bytes that are inflated at once, and near damage.
+STEP, FINE_STEP = 1 << 16, 64
 #: Header lines that a record has once.
 ONCE = frozenset(("warc-type", "warc-record-id", "warc-date", "content-length"))
 
@@ -79,7 +85,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     Null html is an empty payload.  Of rows with equal payloads of at least
     ``REVISIT_BYTES`` the largest id is the response (all its rows, if it is
     repeated); the others revisit it.  An empty table gives an empty folder.
-    Other columns of ``pages`` are ignored.
+    Other columns of ``pages`` are ignored.  Files are rolled by bytes, so a very
+    long payload makes a file of its own or closes one early; one record has to fit
+    into a row of Spark (2 GB compressed).
 
     Repeated payloads are found in a map-side aggregate of digests.  If they are
     few they are broadcast and pages are written without any shuffle; else pages
@@ -89,43 +97,53 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     source = source.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html").cast("long"))
     large = source.where(F.col("size") >= REVISIT_BYTES)
     repeated = large.groupBy(F.col("digest").alias("r_digest")).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    from vicinage.llm.common import Staged
-
-    repeated = Staged(repeated, "repeated").df
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
+    staged = Staged(repeated, "repeated")
+    repeated = F.broadcast(staged.df) if staged.df.count() <= BROADCAST_ROWS else staged.df
     joined = source.join(repeated, (F.col("digest") == F.col("r_digest")) & (F.col("size") >= REVISIT_BYTES), "left")
     typed = joined.select("page_id", "url", "html", "digest", "size", "original", (F.col("r_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))).alias("revisit"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(parts: list[bytes]) -> pa.RecordBatch:  # the writer adds the last zero byte
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], names=["value"])
+
+        out, held = [], 0
         for rows in batches:
-            for at in range(0, rows.num_rows, 256):
-                some = rows.slice(at, 256)
-                out = []
+            for some in pieces(rows, 2):
                 for page_id, url, html, digest, size, original, revisit in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    out.append(gzip_member(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, size, original, revisit, date))[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out.append(gzip_member(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, size, original, revisit, date)))
+                    held += len(out[-1])
+                    if held >= ROW_BYTES:
+                        yield row(out)
+                        out, held = [], 0
+        if out:
+            yield row(out)
 
     written = typed.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    written.write.option("lineSep", "\u0000").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    written.write.option("lineSep", "\u0000").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    staged.drop()
 
 
 class Broken(ValueError):
     """A record or member that fails a check."""
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends; its checksum and length are checked."""
-    z, parts, pos = zlib.decompressobj(31), [], at
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at ``at`` holds, where it ends and, where it fails, why.  Of a
+    member that fails, what was inflated before is returned; its end is not known then."""
+    z, parts, pos, step = zlib.decompressobj(31), [], at, STEP
     while not z.eof:
         if pos >= len(data):
-            raise Broken("cut member")
+            return b"".join(parts), len(data), "cut member"
+        copy = z.copy() if step == STEP else None
         try:
-            parts.append(z.decompress(data[pos : pos + STEP]))
+            parts.append(z.decompress(data[pos : pos + step]))
         except zlib.error as e:
-            raise Broken(str(e)) from None
-        pos += STEP
-    return b"".join(parts), min(pos, len(data)) - len(z.unused_data)
+            if copy is None:
+                return b"".join(parts), pos, str(e)
+            z, step = copy, FINE_STEP  # once more in small steps, to get what lies before the damage
+            continue
+        pos += step
+    return b"".join(parts), min(pos, len(data)) - len(z.unused_data), None
 
 
 def _opens_record(data: memoryview, at: int) -> bool:
@@ -135,8 +153,9 @@ def _opens_record(data: memoryview, at: int) -> bool:
         return False
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at ``at`` and where it ends; raises :class:`Broken`."""
+def parse(data: bytes, at: int = 0, *, verified: bool = False) -> tuple[dict, int]:
+    """The record at ``at`` and where it ends; raises :class:`Broken`.  ``verified``:
+    only a record whose own digest confirms it will do."""
     if not VERSION.match(data, at):
         raise Broken("no version line")
     end = data.find(b"\r\n\r\n", at)
@@ -158,51 +177,110 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("length")
     block = data[start:stop]
-    if (said := head.get("warc-block-digest", "")) and said != f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}":
+    said = head.get("warc-block-digest", "")
+    if (said or verified) and said != f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}":
         raise Broken("block digest")
     http, _, payload = block.partition(b"\r\n\r\n")
     size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
     return {"head": head, "payload": payload, "size": int(size[1]) if size else len(payload)}, stop + 4
 
 
+class _Next:
+    """Where a pattern stands next in the data; every byte is searched once, however
+    often one asks, as long as places ascend."""
+
+    def __init__(self, find):
+        self._find, self._known = find, -1
+
+    def __call__(self, after: int) -> int:
+        if self._known < after:
+            self._known = self._find(after)
+        return self._known
+
+
 def walk(data: bytes) -> Iterator[tuple]:
     """``("record", offset, length, record)`` and ``("gap", offset, length, reason)``
-    in file order; together they cover the file but for padding bytes."""
+    in file order; together they cover the file but for padding bytes.
+
+    A gzip member may hold several records: each has the member's offset, and the
+    first of them its length.  Of a member that fails its check the records that
+    their own block digest confirms are kept (length 0), and the member is a gap.  A
+    part of a member that holds no valid record is a gap of length 0 at its offset."""
     view, at = memoryview(data), 0
 
+    def line(after: int) -> int:
+        found = VERSION.search(data, after)
+        return found.start() if found else len(data)
+
+    def magic(after: int) -> int:
+        pos = data.find(MAGIC, after)
+        return pos if pos >= 0 else len(data)
+
+    next_line, next_magic = _Next(line), _Next(magic)
+
     def resume(after: int) -> int:
         """Start of the next valid member or version line."""
-        line = VERSION.search(data, after)
-        stop = line.start() if line else len(data)
-        pos = data.find(MAGIC, after, stop)
-        while pos >= 0:
+        stop = next_line(after)
+        while (pos := next_magic(after)) < stop:
             if _opens_record(view, pos):
                 return pos
-            pos = data.find(MAGIC, pos + 1, stop)
+            after = pos + 1
         return stop
 
     while at < len(data):
-        try:
-            if data[at : at + 3] == MAGIC:
-                text, end = _inflate(view, at)
-                if text:  # an empty member is padding
-                    found, used = parse(text)
-                    if used != len(text):
-                        raise Broken("bytes after the record")
-                    yield "record", at, end - at, found
-                at = end
-            elif data[at] in b"\r\n\0":
-                at += 1
+        if data[at : at + 3] == MAGIC:
+            text, end, fault = _inflate(view, at)
+            if fault is None and not _opens_any(text):
+                fault = "no version line" if text else None  # an empty member is padding
+            if fault is not None:
+                for found in _salvaged(text):
+                    if not isinstance(found, str):
+                        yield "record", at, 0, found
+                end = resume(at + 1)
+                yield "gap", at, end - at, fault
             else:
+                length = end - at
+                for found in _salvaged(text, verified=False):
+                    if isinstance(found, str):
+                        yield "gap", at, 0, found
+                    else:
+                        yield "record", at, length, found
+                        length = 0
+                if length and text:  # nothing in it is valid
+                    yield "gap", at, length, "no valid record"
+            at = end
+        elif data[at] in b"\r\n\0":
+            at += 1
+        else:
+            try:
                 found, end = parse(data, at)
                 yield "record", at, end - at, found
-                at = end
-        except Broken as e:
-            end = resume(at + 1)
-            yield "gap", at, end - at, str(e)
+            except Broken as e:
+                end = resume(at + 1)
+                yield "gap", at, end - at, str(e)
             at = end
 
 
+def _opens_any(text: bytes) -> bool:
+    return VERSION.search(text) is not None
+
+
+def _salvaged(text: bytes, *, verified: bool = True) -> Iterator[dict | str]:
+    """The records of an inflated member, and the reasons of what lies between."""
+    at = 0
+    while at < len(text):
+        if text[at] in b"\r\n\0":
+            at += 1
+            continue
+        try:
+            found, at = parse(text, at, verified=verified)
+            yield found
+        except Broken as e:
+            yield str(e)
+            after = VERSION.search(text, at + 1)
+            at = after.start() if after else len(text)
+
+
 READ_SCHEMA = "archive string, offset long, length long, kind string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, reason string"
 
 
@@ -210,7 +288,9 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
     """One row a record (``kind`` response or revisit) and one a quarantined gap
     (``kind`` gap, ``reason``), by archive and byte offset.  ``payload_digest`` is
     the bare hex SHA-1 and ``payload_bytes`` the length of the full payload, of a
-    revisit that of the response it refers to."""
+    revisit that of the response it refers to.  Empty files and folders give no rows.
+    A file is one row of ``binaryFile`` (2 GB at most) and one task's work; files of
+    :func:`write_archives` are far smaller."""
     schema = READ_SCHEMA + ", payload binary" * with_payload
     names = [c.split()[0] for c in schema.split(", ")]
 
