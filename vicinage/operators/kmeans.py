@@ -3,9 +3,9 @@
 Centroids are few and live on the driver; the points stay distributed.  A round is
 one narrow pass over Arrow batches in which each partition sums up its cells, and an
 aggregate of one row a cell and partition.  Seeds are drawn by k-means|| (a few passes,
-each of which draws about twice as many rows as seeds, with chances in proportion to
-their cost, and a weighted k-means++ among what was drawn), or are the ``k`` smallest
-ids, or a farthest-first walk.  Draws go by hashes of ids, so runs repeat exactly.
+each of which draws twice as many rows as seeds, with chances that follow their cost,
+and a weighted k-means++ among what was drawn), or are the ``k`` smallest ids, or a
+farthest-first walk.  Draws go by hashes of ids, so runs repeat exactly.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class Clusters:
 
 
 #: Vector pairs whose distances are held at once; passes of k-means||, and rows a pass draws for each seed.
-PAIRS, PASSES, DRAWN = 1 << 18, 4, 2
+PAIRS, PASSES, DRAWN = 1 << 18, 3, 2
 
 
 def cell_distances(x: np.ndarray, centroids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -79,17 +79,17 @@ def assign(data: DataFrame, centroids: list[list], metric: str = "l2sq") -> Data
 
 def parallel_seeds(data: DataFrame, k: int, metric: str, *, seed: int = 42) -> list[list]:
     """Seeds by k-means||.  A row's cost is its squared distance to the nearest
-    candidate, or its distance in bits.  About ``DRAWN * k`` rows a pass reach the
-    driver, never more than that in proportion to the data."""
-    unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(1 << 31)) / float(1 << 31)
+    candidate, or its distance in bits.  A pass is one job: it draws the ``DRAWN * k``
+    rows with the smallest exponential variate of their cost, that is, a weighted draw
+    without replacement, and only these reach the driver."""
+    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(1 << 31)) + 1) / float(1 << 31)
     candidates = [list(r["vec"]) for r in data.orderBy(unit(0), "id").limit(1).collect()]
     for number in range(1, PASSES + 1):
-        costs = with_cells(data, candidates, metric)
-        total = costs.agg(F.sum(F.col("distance").cast("double"))).first()[0] or 0.0
-        if total <= 0:  # every row equals a candidate
+        costs = with_cells(data, candidates, metric).where("distance > 0")
+        hit = costs.orderBy(-F.log(unit(number)) / F.col("distance"), "id").limit(DRAWN * k).select("vec").collect()
+        if not hit:  # every row equals a candidate
             break
-        hit = costs.where(unit(number) * total < F.col("distance") * DRAWN * k)
-        candidates += [list(r["vec"]) for r in hit.orderBy("id").select("vec").collect()]
+        candidates += [list(r["vec"]) for r in hit]
     candidates = [list(c) for c in dict.fromkeys(map(tuple, candidates))]
     if len(candidates) <= k:  # fewer different rows than that were drawn: the farthest complete them
         return _farthest(data, candidates, k, metric)
