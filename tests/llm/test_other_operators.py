@@ -18,30 +18,44 @@ def test_query_matches_sql(name, spark, sf_dir, same):
 
 def brute_top(rows, k, every):
     out = []
-    for q, v in rows:
+    for n, (q, v) in enumerate(rows):
         if q % every == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v)))[:k]
+            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v)))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("copies", [0, 90])
 def test_top_k_equals_brute_force(spark, copies):
+    """Many bundles, chunks and rounds; vectors of several lengths and repeated ids."""
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(240, 6))
     vectors[:copies] = vectors[0]  # one very common vector
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, rank int").select("*") if False else spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, score int, rank int")
-    got = voronoi.top_inner_products(df, k=5, every=20, max_pivots=7, rows_per_pivot=30, block=40).collect()
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(40, [0.5] * 6), (40, [0.5] * 6), (7, [1.0, 2.0]), (20, [2.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, score int, rank int")
+    got = voronoi.top_inner_products(df, k=5, every=20, block=40, chunk=6, step=2).collect()
     assert sorted(map(tuple, got)) == brute_top([(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows], 5, 20)
 
 
-def test_top_k_odd_rows(spark):
-    rows = [(0, [1.0, 2.0]), (20, [1.0, None]), (40, None), (60, [float("nan"), 1.0]), (80, []), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (100, [1.0, 2.0, 3.0]), (2, [float("inf"), 0.0]), (120, [-1.0, -2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, voronoi.top_inner_products(df).collect()))
-    assert got == [(0, 1, 1, 64 * 32 + 128 * 32), (0, 2, 120, -(64 * 64 + 128 * 128)), (120, 1, 1, -(64 * 32 + 128 * 32)), (120, 2, 0, -(64 * 64 + 128 * 128))]
-    assert voronoi.top_inner_products(df.limit(0)).count() == 0
+def test_bundles_hold_every_cell_once():
+    counts = [3, 50, 2, 2, 0, 9, 41]
+    first, number, free = voronoi.bundles([2, 0, 3, 1, 5, 4, 6], counts, 10, 4)
+    assert first[2] == first[0] == first[3] == 4 and number[1] == 5 and first[5] == first[4] == 10 and number[6] == 5
+    assert free == 16 and sorted({b for c in first for b in range(first[c], first[c] + number[c])}) == list(range(4, 16))
+
+
+def test_bounds_are_upper_bounds(spark):
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(size=(300, 5)) * 64)
+    p = x[:7]
+    cell = ((x[:, None] - p[None]) ** 2).sum(2).argmin(1)
+    radius = np.array([np.sqrt(((x[cell == c] - p[c]) ** 2).sum(1)).max() for c in range(7)])
+    norm = np.array([np.sqrt((x[cell == c] ** 2).sum(1)).max() for c in range(7)])
+    space = voronoi.Space(p, radius, norm, np.array([0, 2, 5]), np.array([0, 1, 1, 2]), 0)
+    bounds = space.bounds(x)
+    for c in range(7):
+        bundle = 0 if c < 2 else 1 if c < 5 else 3
+        assert ((x @ x[cell == c].T).max(1) <= bounds[:, bundle]).all()
 
 
 def test_large_components_stay_exact():
