@@ -72,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Staged(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+        after = Staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            before.drop()  # what the stage after it has written replaces it
+        docs, before = after.df, after
     return STAGES[-1][1](spark, docs, sf_dir)
