@@ -1,29 +1,42 @@
 """Exact top-k search as a Voronoi kNN join, for integer inner products.
 
-Pivots cut the data into cells; a summary of each cell (rows, radius around its
-pivot, largest norm) bounds the inner product that a query can reach there:
-``q . p + |q| r`` and ``|q| max|v|``.  Each query is first solved in its own cell,
-which gives its k-th best score so far; only cells whose bound reaches that score
-get the query as well.  Every cell is cut into blocks of bounded size, so a cell
-with a third of all rows (one very common vector) is many groups, and a group
-holds at most ``BLOCK`` rows and ``BLOCK`` queries at once.
+Pivots cut the data into cells, about the square root of the rows in number; a
+summary of each cell (rows, radius around its pivot, largest norm) bounds the inner
+product that a query can reach there: ``q . p + |q| r`` and ``|q| max|v|``.
+Neighbouring cells are gathered to bundles of bounded size (a cell that is larger,
+such as that of one very common vector, makes several), and queries of neighbouring
+cells to chunks.
+
+The search goes in rounds.  A query is first solved in its own bundle, which gives
+its k-th best score so far; each further round takes eight times as many of the
+remaining bundles, those of the highest bounds first, and of these only the ones
+whose bound reaches that score.  A bundle is sent to the chunks that have such a
+query and to no others, and a group answers with rows that reach the score only, so
+what moves is in proportion to the queries and not to queries times bundles.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import Staged
 
-#: Rows and queries of a group at most (on average; hashes deal them), pivots at most, rows a pivot.
-BLOCK, MAX_PIVOTS, ROWS_PER_PIVOT = 4096, 64, 1024
-TOP = "array<struct<score:long,id:long>>"
+#: Rows of a bundle: this, or so many times the square root of all rows, whatever is more
+#: (hashes deal larger cells).
+BLOCK, BLOCK_ROOTS = 1024, 2
+#: Queries of a chunk at most, bundles of a round for each of the round before, and rows
+#: of a broadcast table of groups.
+CHUNK, STEP, BROADCAST_ROWS = 4096, 8, 200_000
+#: Numbers that a matrix of distances or scores holds at most, in one Python worker.
+CELLS = 1 << 21
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -40,17 +53,22 @@ def inner_products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in d] for x in q], dtype=np.int64).reshape(len(q), len(d))
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own, k: int) -> list[dict]:
-    """Highest scores of one query, ties to the smaller id; ``ids`` ascend."""
-    if own is not None and (at := np.searchsorted(ids, own)) < len(ids) and ids[at] == own:
-        scores, ids = np.delete(scores, at), np.delete(ids, at)
-    if len(ids) > k:
-        edge = np.partition(scores, len(ids) - k)[len(ids) - k]
-        above = np.flatnonzero(scores > edge)
-        at = np.concatenate([above, np.flatnonzero(scores == edge)[: k - len(above)]])
-        scores, ids = scores[at], ids[at]
-    order = np.lexsort((ids, -scores))
-    return [{"score": int(s), "id": int(i)} for s, i in zip(scores[order], ids[order], strict=True)]
+def best(scores: np.ndarray, ids: np.ndarray, copies: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest scores of one query that reach ``floor``, ties to the smaller
+    id, and their ids.  ``ids`` ascend and stand for ``copies`` equal rows each; of
+    those at place ``own`` (-1 for none) one is the query itself."""
+    at = np.flatnonzero(scores >= floor) if floor > -math.inf else np.arange(len(scores))
+    if own >= 0 and copies[own] == 1:
+        at = at[at != own]
+    if len(at) > k:
+        edge = np.partition(scores[at], len(at) - k)[len(at) - k]
+        above = at[scores[at] > edge]
+        at = np.concatenate([above, at[scores[at] == edge][: k - len(above)]])
+    at = at[np.lexsort((ids[at], -scores[at]))]
+    n = copies[at] - (at == own)
+    if (n > 1).any():
+        at = np.repeat(at, np.minimum(n, k))[:k]
+    return scores[at], ids[at]
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -61,96 +79,197 @@ def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) ->
     return source.where(fine).select("id", F.transform("x", lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
 
 
-def top_inner_products(
-    vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", max_pivots: int = MAX_PIVOTS, rows_per_pivot: int = ROWS_PER_PIVOT, block: int = BLOCK
-) -> DataFrame:
+def bundles(order: list[int], counts: list[int], most: int, start: int = 0) -> tuple[dict[int, int], dict[int, int], int]:
+    """Cell -> its first bundle and how many it has, and the number of the next free
+    bundle.  Cells that follow one another share a bundle of up to ``most`` rows; a
+    larger cell has bundles of its own."""
+    first, number, free, held = {}, {}, start, most
+    for cell in order:
+        n = counts[cell]
+        if n > most:
+            first[cell], number[cell] = free, math.ceil(n / most)
+            free, held = free + number[cell], most
+            continue
+        if held + n > most:
+            free, held = free + 1, 0
+        first[cell], number[cell] = free - 1, 1
+        held += n
+    return first, number, free
+
+
+@dataclass
+class Space:
+    """Cells of the vectors of one length, in the order of their bundles."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    norm: np.ndarray
+    starts: np.ndarray  # of the runs of cells that share bundles
+    run_of: np.ndarray  # run of each bundle
+    first_bundle: int
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Highest inner product that each bundle can give each query, rounded up."""
+        norms = np.sqrt((q * q).sum(1))[:, None]
+        reach = np.maximum(self.radius, 0)
+        bound = np.minimum(q @ self.pivots.T + norms * reach, norms * self.norm)
+        bound += 1e-9 * norms * (np.sqrt((self.pivots**2).sum(1)) + reach) + 1e-3
+        bound[:, self.radius < 0] = -np.inf  # empty cells
+        return np.maximum.reduceat(bound, self.starts, axis=1)[:, self.run_of]
+
+
+def _near_order(pivots: np.ndarray) -> list[int]:
+    """Cells so that neighbours mostly follow one another: by the nearest of a few
+    chosen pivots, then by the distance to it."""
+    few = pivots[: math.isqrt(len(pivots) - 1) + 1]
+    apart = (pivots**2).sum(1)[:, None] + (few**2).sum(1)[None] - 2 * pivots @ few.T
+    return np.lexsort((apart.min(1), apart.argmin(1))).tolist()
+
+
+def _looked_up(values: list[int], at: Column) -> Column:
+    """Element of a constant array."""
+    return F.from_json(F.lit(json.dumps(values)), "array<int>")[at]
+
+
+def top_inner_products(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", block: int | None = None, chunk: int = CHUNK, step: int = STEP) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row whose id ``every``
     divides, its ``k`` highest inner products with other rows (all, if fewer),
     ties to the smaller id.
 
     Vectors that are null, empty or hold null or non-finite components take no
     part, nor do rows with a null id.  Vectors of different lengths are not
-    compared.  Rows that share an id count once (with the smallest vector).  An
-    empty table gives no rows.  Other columns of ``vectors`` are ignored.
+    compared.  Rows that share an id, and repeated rows, are rows of their own: each
+    is a candidate of the others, and each with a fitting id has ``k`` rows in the
+    result.  Vectors of any length are whole.  An empty table gives no rows.  Other
+    columns of ``vectors`` are ignored.
     """
     spark = vectors.sparkSession
-    rows = Staged(whole_vectors(vectors, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors").df
-
-    # pivots: a bounded, seeded draw from the vectors of each length
-    pivots: dict[int, np.ndarray] = {}
-    for r in rows.groupBy("dim").count().collect():
-        n = max(1, min(max_pivots, math.ceil(r["count"] / rows_per_pivot)))
-        drawn = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(7), "id")).limit(n).collect()
-        pivots[r["dim"]] = np.array([x["v"] for x in drawn], dtype=np.float64)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, sets their number
+    asked = F.col("id") % every == 0
+    distinct = whole_vectors(vectors, id_col, vec_col, scale).groupBy("id", "v").agg(F.count("*").alias("n"))
+    staged = Staged(distinct.select(F.monotonically_increasing_id().alias("row"), "id", "v", "n", F.size("v").alias("dim"), F.pmod(F.xxhash64(F.lit(7), "id", "v"), F.lit(1 << 31)).alias("hash")), "vectors")
+    rows = staged.df
+
+    # pivots: a seeded draw of about the square root of the rows of each length
+    lengths = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count("*").alias("rows"), F.min_by("v", "hash").alias("one")).collect()}  # one row a length
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    block = block or max(BLOCK, BLOCK_ROOTS * math.isqrt(sum(r["rows"] for r in lengths.values())))
+    share = F.create_map(*[F.lit(x) for dim, r in lengths.items() for x in (dim, int(2**31 / math.sqrt(r["rows"])))])
+    drawn: dict[int, list] = {dim: [r["one"]] for dim, r in lengths.items()}
+    for r in rows.where(F.col("hash") < share[F.col("dim")]).orderBy("hash", "row").select("dim", "v").collect():
+        if r["v"] != drawn[r["dim"]][0]:
+            drawn[r["dim"]].append(r["v"])
+    pivots = {dim: np.array(vs, dtype=np.float64) for dim, vs in drawn.items()}
     first_cell = dict(zip(pivots, np.cumsum([0, *map(len, pivots.values())]).tolist(), strict=False))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy()
+            dims = batch.column(3).to_numpy()
             for dim in np.unique(dims):
-                some = batch.filter(pa.array(dims == dim))
-                x, p = _matrix(some.column(1)).astype(np.float64), pivots[int(dim)]
-                apart = np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T)
-                cell = apart.argmin(1)
-                away = np.sqrt(((x - p[cell]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(cell + first_cell[int(dim)], pa.int32()), pa.array(away), pa.array(np.sqrt((x * x).sum(1)))], names=["id", "v", "cell", "away", "norm"])
-
-    placed = Staged(rows.mapInArrow(assign, "id long, v array<long>, cell int, away double, norm double"), "cells").df
-    asked = F.col("id") % every == 0
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm"), F.count(F.when(asked, 1)).alias("queries")).collect()  # one row a pivot
-    if not cells:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n_queries = sum(c["queries"] for c in cells)
-    blocks = {c["cell"]: max(1, math.ceil(c["n"] / block)) for c in cells}
-    chunks = max(1, math.ceil(n_queries / block))
-    block_map = F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)])
+                whole, p = batch.filter(pa.array(dims == dim)), pivots[int(dim)]
+                size = max(1, CELLS // max(p.shape))
+                for at in range(0, whole.num_rows, size):
+                    some = whole.slice(at, size)
+                    x = _matrix(some.column(2)).astype(np.float64)
+                    cell = ((p * p).sum(1)[None] - 2 * x @ p.T).argmin(1)
+                    away = np.sqrt(((x - p[cell]) ** 2).sum(1))
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), some.column(4), pa.array(cell + first_cell[int(dim)], pa.int32()), pa.array(away), pa.array(np.sqrt((x * x).sum(1)))], names=["row", "id", "v", "n", "cell", "away", "norm"])
 
-    data = placed.select(F.col("id"), "v", "cell", F.pmod(F.xxhash64(F.lit(3), "id"), block_map[F.col("cell")]).cast("int").alias("block"), F.lit(False).alias("ask"))
-    data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    queries = placed.where(asked).withColumn("chunk", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(chunks)).cast("int"))
+    placed = Staged(rows.select("row", "id", "v", "dim", "n").mapInArrow(assign, "row long, id long, v array<long>, n long, cell int, away double, norm double"), "cells").df
+    staged.drop()
+    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("away").alias("radius"), F.max("norm").alias("norm"), F.count(F.when(asked, 1)).alias("queries")).collect()}  # one row a pivot
+
+    # bundles of cells and chunks of queries, by the summaries
+    total = sum(map(len, pivots.values()))
+    of_cell = lambda name, none: [cells[c][name] if c in cells else none for c in range(total)]
+    counts, asks, radius, norm = of_cell("rows", 0), of_cell("queries", 0), of_cell("radius", -1.0), of_cell("norm", 0.0)
+    bundle_of, bundles_of, chunk_of, chunks_of = [0] * total, [1] * total, [0] * total, [1] * total
+    spaces: dict[int, Space] = {}
+    free = free_chunk = 0
+    for dim, p in pivots.items():
+        order = [c + first_cell[dim] for c in _near_order(p)]
+        start = free
+        first, number, free = bundles(order, counts, block, free)
+        first_chunk, n_chunks, free_chunk = bundles(order, asks, chunk, free_chunk)
+        for c in order:
+            bundle_of[c], bundles_of[c], chunk_of[c], chunks_of[c] = first[c], number[c], first_chunk[c], n_chunks[c]
+        starts = [i for i, c in enumerate(order) if not i or first[c] != first[order[i - 1]]]
+        run_of = np.repeat(np.arange(len(starts)), [number[order[i]] for i in starts])
+        local = np.array(order) - first_cell[dim]
+        spaces[dim] = Space(p[local], np.array([radius[c] for c in order]), np.array([norm[c] for c in order]), np.array(starts), run_of, start)
+    most_bundles = max(len(s.run_of) for s in spaces.values())
+
+    spread = lambda firsts, numbers, salt: (_looked_up(firsts, F.col("cell")) + F.pmod(F.xxhash64(F.lit(salt), "row"), _looked_up(numbers, F.col("cell")))).cast("int")
+    data = placed.select("row", "id", "v", "n", spread(bundle_of, bundles_of, 3).alias("bundle"))
+    queries = placed.where(asked).select("row", "id", "v", "n", spread(bundle_of, bundles_of, 3).alias("own"), spread(chunk_of, chunks_of, 4).alias("chunk"))
 
     def solve(group: pa.Table) -> pa.Table:
         asks = np.asarray(group.column("ask"))
-        ids, v = group.column("id").to_numpy(), _matrix(group.column("v"))
-        order = np.argsort(ids[~asks], kind="stable")
-        theirs, d = ids[~asks][order], v[~asks][order]
-        mine, q = ids[asks], v[asks]
-        tops = []
-        for at in range(0, len(mine), 256):
-            scores = inner_products(q[at : at + 256], d)
-            tops += [best(s, theirs, i, k) for s, i in zip(scores, mine[at : at + 256], strict=True)]
-        return pa.table({"query_id": pa.array(mine, pa.int64()), "top": pa.array(tops, pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())])))})
-
-    def solved(sent: DataFrame) -> DataFrame:
-        spread = sent.withColumn("block", F.explode(F.sequence(F.lit(0), block_map[F.col("cell")] - 1))).select("id", "v", "cell", "block", F.lit(True).alias("ask"), "chunk")
-        return data.unionByName(spread).groupBy("cell", "block", "chunk").applyInArrow(solve, f"query_id long, top {TOP}")
-
-    own = Staged(solved(queries), "own").df
-    kth = own.select("query_id", F.explode("top").alias("t")).select("query_id", "t.score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("t.score"))).alias("r")).where(F.col("r") <= k)
-    floor = kth.groupBy(F.col("query_id").alias("id")).agg(F.max(F.when(F.col("r") == k, F.col("score"))).alias("floor"))
-
-    # bounds of every cell for every query; radius and norm come from the summaries
-    reach = {c["cell"]: (c["radius"], c["norm"]) for c in cells}
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = np.array([len(x) for x in batch.column(1)])
-            for dim in np.unique(dims):
-                some = batch.filter(pa.array(dims == dim))
-                q, at, p = _matrix(some.column(1)).astype(np.float64), first_cell[int(dim)], pivots[int(dim)]
-                norms, floors = np.sqrt((q * q).sum(1)), some.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
-                for c in range(at, at + len(p)):
-                    if c not in reach:
-                        continue
-                    radius, norm = reach[c]
-                    bound = np.minimum(q @ p[c - at] + norms * radius, norms * norm) * (1 + 1e-9) + 1e-3
-                    hit = (np.isnan(floors) | (bound >= floors)) & (some.column(2).to_numpy() != c)
-                    if hit.any():
-                        some_hit = some.filter(pa.array(hit))
-                        yield pa.RecordBatch.from_arrays([some_hit.column(0), some_hit.column(1), pa.array(np.full(hit.sum(), c), pa.int32()), some_hit.column(3)], names=["id", "v", "cell", "chunk"])
-
-    known = queries.select("id", "v", "cell", "chunk").join(floor, "id", "left").select("id", "v", "cell", "chunk", F.col("floor").cast("double").alias("floor"))
-    others = solved(known.mapInArrow(send, "id long, v array<long>, cell int, chunk int"))
-    found = own.unionByName(others).select("query_id", F.explode("top").alias("t")).select("query_id", F.col("t.score").alias("score"), F.col("t.id").alias("vec_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        number, ids, copies, v, floors = group.column("row").to_numpy(), group.column("id").to_numpy(), group.column("n").to_numpy(), _matrix(group.column("v")), group.column("floor").to_numpy()
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        theirs = theirs[np.lexsort((number[theirs], ids[theirs]))]
+        d, d_ids, d_copies = v[theirs], ids[theirs], copies[theirs]
+        by_row = np.argsort(number[theirs])
+        found = np.searchsorted(number[theirs], number[mine], sorter=by_row)
+        place = by_row[np.minimum(found, len(theirs) - 1)] if len(theirs) else found
+        own = np.where(number[theirs][place] == number[mine], place, -1) if len(theirs) else np.full(len(mine), -1)
+        out = []
+        size = max(1, CELLS // max(1, len(theirs)))
+        for at in range(0, len(mine), size):
+            some = mine[at : at + size]
+            for q, scores, o in zip(some, inner_products(v[some], d), own[at : at + size], strict=True):
+                got, whose = best(scores, d_ids, d_copies, int(o), floors[q], k)
+                out.append((np.full(len(got), q), got, whose))
+        q, scores, whose = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+        return pa.table({"row": pa.array(number[q], pa.int64()), "query_id": pa.array(ids[q], pa.int64()), "copies": pa.array(copies[q], pa.int64()), "score": pa.array(scores, pa.int64()), "vec_id": pa.array(whose, pa.int64())})
+
+    def solved(sent: DataFrame, needed: DataFrame) -> DataFrame:
+        both = data.join(needed, "bundle").select("row", "id", "v", "n", "bundle", "chunk", F.lit(False).alias("ask"), F.lit(0.0).alias("floor"))
+        both = both.unionByName(sent.withColumn("ask", F.lit(True)))
+        return both.repartition(tasks, "bundle", "chunk").groupBy("bundle", "chunk").applyInArrow(solve, "row long, query_id long, copies long, score long, vec_id long")
+
+    def send(low: int, high: int):
+        """Queries for the bundles at places ``low`` to ``high`` of their order by bound,
+        where the bound reaches the score so far."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = np.array([len(x) for x in batch.column(2)])
+                for dim in np.unique(dims):
+                    whole, space = batch.filter(pa.array(dims == dim)), spaces[int(dim)]
+                    size = max(1, CELLS // max(len(space.run_of), *space.pivots.shape))
+                    for at in range(0, whole.num_rows, size):
+                        some = whole.slice(at, size)
+                        bound = space.bounds(_matrix(some.column(2)).astype(np.float64))
+                        bound[np.arange(some.num_rows), some.column(4).to_numpy() - space.first_bundle] = np.inf  # the own one is done, and comes first
+                        taken = np.argsort(-bound, axis=1, kind="stable")[:, low:high]
+                        hit = np.take_along_axis(bound, taken, 1) >= some.column(6).to_numpy()[:, None]
+                        which, place = np.nonzero(hit)
+                        part = some.take(pa.array(which))
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(taken[which, place] + space.first_bundle, pa.int32()), part.column(5), part.column(6)], names=["row", "id", "v", "n", "bundle", "chunk", "floor"])
+
+        return run
+
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    low, high, top, before = 0, 1, None, None
+    while low < most_bundles:
+        if top is None:
+            sent = queries.select("row", "id", "v", "n", F.col("own").alias("bundle"), "chunk", F.lit(float("-inf")).alias("floor"))
+        else:
+            floors = top.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
+            known = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+            sent = known.mapInArrow(send(low, high), "row long, id long, v array<long>, n long, bundle int, chunk int, floor double")
+        needed = Staged(sent.select("bundle", "chunk").distinct(), "groups")
+        groups = needed.df.count()
+        if top is not None and not groups:
+            break  # bounds descend, so nothing that follows can reach the scores either
+        found = solved(sent, F.broadcast(needed.df) if groups <= BROADCAST_ROWS else needed.df)
+        merged = found if top is None else top.drop("rank").unionByName(found)
+        after = Staged(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "top")
+        needed.drop()
+        if before is not None:
+            before.drop()
+        top, before = after.df, after
+        low, high = high, high * step
+    return top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
