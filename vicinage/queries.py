@@ -452,6 +452,17 @@ def _(spark, sf_dir):
     return estimators.NearestNeighbors(3, "hamming", dim=WORDS).fit(w).kneighbors()
 
 
+@query("kneighbors_own_l2", f"WITH {_BASE}, q2 AS (SELECT id AS qid, v AS q FROM e), pairs AS (SELECT qid, id, {_DIST['l2']} AS d FROM q2 JOIN e ON qid <> id) SELECT qid, id, round(d, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM pairs QUALIFY rank <= 3")
+def _(spark, sf_dir):
+    return rounded(estimators.NearestNeighbors(3, dim=DIM).fit(data(spark, sf_dir)).kneighbors(), "distance")
+
+
+@query("classifier_classes", "SELECT DISTINCT label FROM embeddings")
+def _(spark, sf_dir):
+    classes = estimators.KNeighborsClassifier(5, dim=DIM).fit(data(spark, sf_dir)).classes()
+    return spark.createDataFrame([(c,) for c in classes], "label int")
+
+
 def _weights_sql(kind: str, base: str = _SELF_KNN) -> str:
     if kind == "uniform":
         return f"{base}, w AS (SELECT qid, id, 1.0::DOUBLE AS w FROM knn)"
@@ -571,6 +582,14 @@ def _(spark, sf_dir):
     return MIHIndex.load(spark, path).search(_near_copies(w), 5, RADIUS)
 
 
+@query("index_properties", f"SELECT {CELLS} AS nlist, 3 AS nprobe, {PARTS} AS m, count(*) AS n, 8 AS nbytes FROM embeddings")
+def _(spark, sf_dir):
+    w = words(data(spark, sf_dir)).select("id", "vec")
+    ivf = IVFIndex(CELLS, CELLS, "hamming").fit(w, centroids=_first(w)).set_nprobe(3)
+    mih = MIHIndex(PARTS).fit(w, WORDS)
+    return spark.createDataFrame([(ivf.nlist, ivf.n_probe, mih.m, mih.n, mih.nbytes)], "nlist int, nprobe int, m int, n long, nbytes int")
+
+
 GENERATED, GENERATED_DIM, CLUSTERS = 2_000, 4, 50
 _NAME = lambda *parts: " || '/' || ".join(f"({p})::VARCHAR" for p in parts)
 _HEX = lambda digest, at, n: f"('0x' || substr({digest}, {at}, {n}))::BIGINT"
