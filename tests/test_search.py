@@ -91,6 +91,12 @@ def test_errors(spark):
 def test_empty_data(spark):
     d = frame(spark, [])
     assert exact.knn_join(asked(spark, [(0, [0.0])]), d, 3).count() == 0
+    wide = frame(spark, [(i, [float(i)] * 12) for i in range(9)])
+    nobody = asked(spark, [])
+    for plan in ("cross", "block", "grid"):
+        assert exact.knn_join(nobody, wide, 3, plan=plan).count() == 0
+        assert exact.knn_join(asked(spark, [(0, [0.0] * 12)]), wide.where("id < 0"), 3, dim=12, plan=plan).count() == 0
+    assert IVFIndex(3, 3, max_iter=1).fit(wide).search(nobody, 2).count() == 0
     index = range_search.RangeIndex(2)
     assert index.empty() and index.size() == 0
     assert index.find_threshold(asked(spark, [(0, [1, 2])], "array<long>"), 3).count() == 0

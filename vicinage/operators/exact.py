@@ -154,8 +154,8 @@ def block_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def vectors_of(column: pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
     """Rows of a list column as a matrix, of integers for bits."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.int64 if resolve(metric) == "hamming" else np.float64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64 if resolve(metric) == "hamming" else np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
 def nearest(metric: str, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int | None, exclude_self: bool, most: float = math.inf) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
