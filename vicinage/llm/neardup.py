@@ -289,20 +289,21 @@ def _blockwise(members: DataFrame, payload: DataFrame, most_odd: int, percent: i
 
     ``members``: ``bucket, v, c``; buckets of a single component are left out.
     ``payload``: ``v, sketch`` and, to confirm links on full sets (``percent`` given),
-    ``items``; else a link is what the sketches do not rule out.  The members of a
-    bucket's largest component and the others make blocks of about ``BLOCK`` each, and
-    each pair of blocks is a group of its own, but for pairs of two blocks of the
-    largest component: it is linked already.  So a large group of copies with few
-    others in its bucket costs rows in proportion to its members."""
+    ``items``; else a link is what the sketches do not rule out.  A bucket makes blocks
+    of about ``BLOCK`` members, those of a component that fills a block by itself apart
+    from the others, and each pair of blocks is a group of its own, but for pairs of
+    two blocks of that component: it is linked already.  So a large group of copies
+    with few others in its bucket costs rows in proportion to its members."""
     kind = members.schema["v"].dataType.simpleString()
     parts = members.groupBy("bucket", "c").agg(F.count("*").alias("m"))
     shape = parts.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("n_main"), F.sum("m").alias("n")).where("n > n_main")
     # powers of two and one hash: a member's block is the same in all buckets of a size,
     # so the forests of buckets that share members share links
     number = lambda n: F.pow(F.lit(2), F.ceil(F.log2(F.ceil(n / BLOCK)))).cast("int")
-    shape = shape.select("bucket", "main", number(F.col("n") - F.col("n_main")).alias("others"), number(F.col("n_main")).alias("mains"))
-    is_main, place = F.col("c") == F.col("main"), F.xxhash64("v")
-    placed = members.join(shape, "bucket").withColumn("mine", F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    apart = F.when(F.col("n_main") >= BLOCK, F.col("n_main")).otherwise(0)
+    shape = shape.select("bucket", "main", number(F.col("n") - apart).alias("others"), F.when(apart > 0, number(apart)).otherwise(0).alias("mains"))
+    is_main, place = (F.col("c") == F.col("main")) & (F.col("mains") > 0), F.xxhash64("v")
+    placed = members.join(shape, "bucket").withColumn("mine", F.when(is_main, F.col("others") + F.pmod(place, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
     dealt = placed.join(payload, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
     dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "c", "sketch", *(["items"] if percent else []))
 
