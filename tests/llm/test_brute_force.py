@@ -47,7 +47,7 @@ def test_the_cache_of_pieces_is_bounded(monkeypatch):
     known.clear()
     text = " ".join(f"word{i}" for i in range(3000))
     whole = known.text(text)
-    assert known._held <= 20_000 and len(known) < 100
+    assert known._held <= 10_000 and len(known) < 50 and len(known._before) < 50
     assert whole == known.direct(text)
 
 

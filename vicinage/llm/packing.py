@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 #: Tails that wait before sequences are filled, and that stay for later choice.
 POOL_HIGH, POOL_LOW = 2048, 1024
-#: Bytes of the text pieces whose ids a Python worker remembers within a partition (with
-#: what an entry takes besides its text), code points of the longest one, and bytes of
-#: ids that a batch of results holds.
-CACHE_BYTES, CACHE_ENTRY, CACHE_CHARS, BATCH_BYTES = 24 << 20, 200, 48, 2 << 20
+#: Bytes of the text pieces whose ids a Python worker remembers (with what an entry takes
+#: besides its text), code points of the longest one, and bytes of ids that a batch of
+#: results holds.
+CACHE_BYTES, CACHE_ENTRY, CACHE_CHARS, BATCH_BYTES = 80 << 20, 200, 48, 2 << 20
 
 
 class PieceIds(dict):
@@ -59,26 +59,29 @@ class PieceIds(dict):
         self._encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._added = {token: _pack_ids([i]) for token, i in added.items()}
         self._cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True))) if added else None
-        self._held = 0
+        self._held, self._before = 0, {}
 
     def clear(self) -> None:
-        self._held = 0
+        self._held, self._before = 0, {}
         super().clear()
 
     def direct(self, text: str) -> bytes:
         return _pack_ids(self._encode(text))
 
     def __missing__(self, piece: str) -> bytes:
-        ids = _pack_ids(self._encode(" " + piece))
+        ids = self._before.get(piece)
+        if ids is None:
+            ids = _pack_ids(self._encode(" " + piece))
         if len(piece) <= CACHE_CHARS:
             self._held += CACHE_ENTRY + 2 * len(piece) + len(ids)
-            if self._held > CACHE_BYTES:
-                self.clear()
+            if self._held > CACHE_BYTES // 2:  # two generations: what is asked for again moves on
+                self._held, self._before = 0, dict(self)
+                super().clear()
             self[piece] = ids
         return ids
 
     def text(self, text: str) -> bytes:
-        if self._cut is None or not self._cut.search(text):
+        if not any(token in text for token in self._added):
             return self._plain(text)
         parts = [x for x in self._cut.split(text) if x]
         return b"".join([self._added[x] if x in self._added else self._plain(x) for x in parts])
@@ -253,9 +256,6 @@ def pack(
                     yield packer.put(doc_id.as_py(), known.text(text.as_py()) + end)
             yield packer.close()
 
-        try:
-            yield from batches_of(packed())
-        finally:
-            known.clear()  # the worker may serve other stages after this partition
+        yield from batches_of(packed())
 
     return source.mapInArrow(run, schema)
