@@ -98,3 +98,34 @@ def test_pivot_search_with_copies(spark, metric):
     for own in (False, True):
         got = PivotIndex(metric, 5).fit(d).search(q, 15, exclude_self=own)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.knn_join(q, d, 15, metric, dim=3, exclude_self=own).collect()))
+
+
+@pytest.mark.parametrize("asked", [3, 40])
+@pytest.mark.parametrize("offset,scale", [(0.0, 1.0), (1e4, 1e-3), (0.0, 1e200), (3.0, 0.0)])
+def test_linf_bitmaps_equal_brute_force(monkeypatch, asked, offset, scale):
+    for name, n in (("UNRANGED", 50), ("RANGED", 300), ("RANGED_ASKED", 8)):
+        monkeypatch.setattr(kernel, name, n)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 12)) * scale + offset
+    x[::7], x[200:900, 4] = x[3], x[2, 4]  # copies, and a component that hardly differs
+    x[1::9] = np.round(x[1::9], 1)  # rows on the edge of a range
+    ids, seen = rng.permutation(1500).astype(np.int64), []
+    passed = kernel.Nearest._ranges
+    monkeypatch.setattr(kernel.Nearest, "_ranges", lambda self, i, v: (seen.append(len(i)), passed(self, i, v)))
+    for k, own in ((1, False), (10, True), (2000, False)):
+        near = kernel.Nearest("linf", ids[:asked], x[:asked], k, own)
+        for at in range(0, 1500, 700):
+            near.add(ids[at : at + 700], x[at : at + 700])
+        assert list(zip(*[c.tolist() for c in near.rows()], strict=True)) == brute("linf", ids[:asked], x[:asked], ids, x, k, own)
+    assert bool(seen) == (asked > 30)  # few queries are screened pair by pair
+
+
+def test_linf_looks_at_few_pairs(monkeypatch):
+    # every pair went through 64 passes in single precision
+    rng = np.random.default_rng(7)
+    x, pairs = rng.standard_normal((40000, 64)), [0]
+    single = kernel.Nearest._single
+    monkeypatch.setattr(kernel.Nearest, "_single", lambda self, v: (pairs.__setitem__(0, pairs[0] + len(v) * len(self.qids)), single(self, v))[1])
+    near = kernel.Nearest("linf", np.arange(600), x[:600], 10)
+    near.add(np.arange(40000), x)
+    assert pairs[0] <= 600 * 40000 // 20
