@@ -120,12 +120,13 @@ def test_linf_bitmaps_equal_brute_force(monkeypatch, asked, offset, scale):
     assert bool(seen) == (asked > 30)  # few queries are screened pair by pair
 
 
-def test_linf_looks_at_few_pairs(monkeypatch):
+@pytest.mark.parametrize("k", [1, 10])
+def test_linf_looks_at_few_pairs(k, monkeypatch):
     # every pair went through 64 passes in single precision
     rng = np.random.default_rng(7)
     x, pairs = rng.standard_normal((40000, 64)), [0]
     single = kernel.Nearest._single
     monkeypatch.setattr(kernel.Nearest, "_single", lambda self, v: (pairs.__setitem__(0, pairs[0] + len(v) * len(self.qids)), single(self, v))[1])
-    near = kernel.Nearest("linf", np.arange(600), x[:600], 10)
+    near = kernel.Nearest("linf", np.arange(600), x[:600], k)
     near.add(np.arange(40000), x)
     assert pairs[0] <= 600 * 40000 // 20
