@@ -101,7 +101,7 @@ def test_pivot_search_with_copies(spark, metric):
 
 
 @pytest.mark.parametrize("asked", [3, 40])
-@pytest.mark.parametrize("offset,scale", [(0.0, 1.0), (1e4, 1e-3), (0.0, 1e200), (3.0, 0.0)])
+@pytest.mark.parametrize("offset,scale", [(0.0, 1.0), (1e4, 1e-3), (0.0, 1e200), (3.0, 1e-15)])
 def test_linf_bitmaps_equal_brute_force(monkeypatch, asked, offset, scale):
     for name, n in (("UNRANGED", 50), ("RANGED", 300), ("RANGED_ASKED", 8)):
         monkeypatch.setattr(kernel, name, n)
@@ -130,3 +130,34 @@ def test_linf_looks_at_few_pairs(k, monkeypatch):
     near = kernel.Nearest("linf", np.arange(600), x[:600], k)
     near.add(np.arange(40000), x)
     assert pairs[0] <= 600 * 40000 // 20
+
+
+@pytest.mark.parametrize("kind,dim", [("linf", 4), ("l1", 4), ("l2", 20), ("hamming", 2)])
+def test_copies_are_looked_at_k_times(kind, dim, monkeypatch):
+    # a query that lies next to many copies took the distance of each of them
+    rng, taken = np.random.default_rng(8), [0]
+    x = rng.integers(0, 1 << 32, (3000, dim)) if kind == "hamming" else rng.standard_normal((3000, dim))
+    x[::2], x[1::8] = x[0], x[1]
+    ids = rng.permutation(3000).astype(np.int64)
+    ids[:600:2] = ids[0]  # rows of one id, too
+    held = kernel.Nearest._hold
+    for k, own in ((1, False), (10, False), (10, True)):
+        want = brute(kind, ids[:80], x[:80], ids, x, k, own)
+        monkeypatch.setattr(kernel.Nearest, "_hold", lambda self, rows, *a: (taken.__setitem__(0, taken[0] + len(rows)), held(self, rows, *a)))
+        taken[0], near = 0, kernel.Nearest(kind, ids[:80], x[:80], k, own)
+        near.add(ids, x)
+        assert list(zip(*[c.tolist() for c in near.rows()], strict=True)) == want
+        assert own or taken[0] < 80 * 1500 / 2
+
+
+def test_equal_hashes_are_no_proof_of_copies(monkeypatch):
+    monkeypatch.setattr(kernel.np.random, "default_rng", lambda seed: type("Z", (), {"integers": lambda self, lo, hi, n, kind: np.full(n, (1 << 63) - 1, np.uint64)})())
+    x = np.array([[1.0, 2.0], [2.0, 1.0]] * 6)  # sums of components that are only exchanged are equal
+    keep = kernel.few_copies(np.arange(12), x, 3, False)
+    assert keep[:5].all() and keep[::2].sum() == 3
+
+
+@pytest.mark.parametrize("name", ["knn_linf_pruned", "pivot_save_load"])
+def test_pruned_searches_sort_no_pairs(name, spark):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
