@@ -161,3 +161,15 @@ def test_equal_hashes_are_no_proof_of_copies(monkeypatch):
 def test_pruned_searches_sort_no_pairs(name, spark):
     plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
+
+
+def test_columns_of_all_pairs_repeat_in_short_cycles(spark, monkeypatch):
+    # a row met all queries before the next row did, and their ids were written in full each time
+    monkeypatch.setattr(exact, "CHUNK", 8)
+    d = spark.range(0, 60, 1, 1).select("id", F.array(F.col("id") * 77, F.col("id") * 31).alias("vec"))
+    q = d.where("id % 2 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    for own in (False, True):
+        got = [tuple(r) for r in exact.pairs(q, d, "hamming", 2, exclude_self=own).collect()]
+        assert sorted(got) == sorted((a, b, (a * 77 ^ b * 77).bit_count() + (a * 31 ^ b * 31).bit_count()) for a in range(0, 60, 2) for b in range(60) if not own or a != b)
+    one = [r[0] for r in exact.pairs(q, d.coalesce(1), "hamming", 2).collect()]
+    assert len(set(one[:400])) == 8
