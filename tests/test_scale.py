@@ -173,3 +173,30 @@ def test_columns_of_all_pairs_repeat_in_short_cycles(spark, monkeypatch):
         assert sorted(got) == sorted((a, b, (a * 77 ^ b * 77).bit_count() + (a * 31 ^ b * 31).bit_count()) for a in range(0, 60, 2) for b in range(60) if not own or a != b)
     one = [r[0] for r in exact.pairs(q, d.coalesce(1), "hamming", 2).collect()]
     assert len(set(one[:400])) == 8
+
+
+@pytest.mark.parametrize("metric,kind", [("linf", "float"), ("l1", "double"), ("l2", "float"), ("l2", "double"), ("hamming", "bigint")])
+def test_a_query_that_equals_a_row_is_not_searched(spark, metric, kind, monkeypatch):
+    # every query went through all rows, though nothing is nearer than an equal row
+    monkeypatch.setattr(exact, "MOST_PAIRS", 0)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-40, 40, (400, 3)) * (1 if kind == "bigint" else 0.25)
+    x[::3], x[10:20] = x[0], 0  # many copies of one row
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(400), x, strict=True)]
+    asked = [(1000 + n, v) for n, v in enumerate(np.array([x[0], x[1], x[50], [7, 70, 7], [0, 0, 0]], x.dtype).tolist())]
+    if kind != "bigint":
+        rows += [(400, [0.0, float("nan"), 0.0]), (401, [float("inf"), 0.0, 0.0]), (402, [-0.0, 0.0, -0.0]), (403, [1e-200, 0.0, 0.0])]
+        asked += [(2000, rows[400][1]), (2001, rows[401][1]), (2002, rows[402][1]), (2003, [1e-200, 0.0, 0.0]), (2004, [5e-201, 0.0, 0.0])]
+    rows, asked = ([(i, v * 3) for i, v in some] for some in (rows, asked))  # too many components for a nested loop
+    d, q = (spark.createDataFrame(r, f"id long, v array<{'double' if kind == 'float' else kind}>").select("id", F.col("v").cast(f"array<{kind}>").alias("v")) for r in (rows, asked))
+    d, q = d.withColumnRenamed("v", "vec"), q.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    want = sorted(map(tuple, exact.knn_join(q, d, 1, metric, dim=9).drop("rank").collect()))
+    searched, search = [], exact.knn_join
+    monkeypatch.setattr(exact, "knn_join", lambda queries, *a, **b: (searched.extend(r[0] for r in queries.select("qid").collect()), search(queries, *a, **b))[1])
+    got = exact.nn1_join(q, d, metric, dim=9)
+    assert sorted(map(tuple, got.collect())) == want and len(want) >= 5
+    if (metric, kind) != ("l2", "double"):  # whose squares may come to 0
+        assert 1003 in searched and not {1000, 1001, 1002, 1004, 2002} & set(searched)
+    own = exact.nn1_join(q.where("qid < 1003"), d, metric, dim=9)
+    assert "MapInArrow" not in own._jdf.queryExecution().optimizedPlan().toString() or (metric, kind) == ("l2", "double")
+    assert sorted(map(tuple, own.collect())) == [r for r in want if r[0] < 1003] and own.schema == got.schema
