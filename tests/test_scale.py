@@ -200,3 +200,29 @@ def test_a_query_that_equals_a_row_is_not_searched(spark, metric, kind, monkeypa
     own = exact.nn1_join(q.where("qid < 1003"), d, metric, dim=9)
     assert "MapInArrow" not in own._jdf.queryExecution().optimizedPlan().toString() or (metric, kind) == ("l2", "double")
     assert sorted(map(tuple, own.collect())) == [r for r in want if r[0] < 1003] and own.schema == got.schema
+
+
+@pytest.mark.parametrize("kind,k", [("l1", 1), ("l1", 10), ("l1", 150), ("linf", 10), ("l2", 10), ("l2sq", 10)])
+def test_boxes_equal_brute_force(kind, k):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((3000, 4))
+    x[::11], x[1::5] = x[4], np.round(x[1::5], 1)  # copies, ties
+    ids = rng.permutation(3000).astype(np.int64)
+    for n in (33, 1024, 1057, 3000):
+        for own, most in ((False, np.inf), (True, np.inf), (False, 0.5)):
+            near = kernel.Nearest(kind, ids[:60], x[:60], k, own, most)
+            for at in range(0, n, 1700):
+                near.add(ids[at : min(n, at + 1700)], x[at : min(n, at + 1700)])
+            want = [r for r in brute(kind, ids[:60], x[:60], ids[:n], x[:n], k, own) if r[2] <= most]
+            assert list(zip(*[c.tolist() for c in near.rows()], strict=True)) == want
+
+
+def test_boxes_leave_few_pairs(monkeypatch):
+    # a query was held against every box, and met some 1000 rows
+    rng, taken = np.random.default_rng(11), [0]
+    x = rng.standard_normal((20000, 4))
+    held = kernel.Nearest._hold
+    monkeypatch.setattr(kernel.Nearest, "_hold", lambda self, rows, *a: (taken.__setitem__(0, taken[0] + len(rows)), held(self, rows, *a)))
+    near = kernel.Nearest("l1", np.arange(2000), x[:2000], 10)
+    near.add(np.arange(20000), x)
+    assert taken[0] <= 2000 * 700
